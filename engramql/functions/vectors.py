@@ -29,19 +29,26 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), F.when(n == 0, 0.0).otherwise(dot(a, b) / n))
 
 
-def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
-    """A list<float> Arrow column without nulls as rows of unit length (float32)."""
+def raw_matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    """A list<float> Arrow column without nulls as float32 rows."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    m = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-    m = m / np.abs(m).max(axis=1, keepdims=True) if len(m) else m
-    return (m / np.linalg.norm(m, axis=1, keepdims=True) if len(m) else m).astype(np.float32)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(-1, dim)
+
 
+def unit(m: np.ndarray) -> np.ndarray:
+    """Rows scaled to unit length (float32); rows must not be all zero."""
+    if not len(m):
+        return m.astype(np.float32)
+    x = m.astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return x.astype(np.float32)
 
-def list_column(m: np.ndarray) -> pa.Array:
-    """Rows of a float32 matrix as a list<float> Arrow column."""
-    offsets = pa.array(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32))
-    return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(m, dtype=np.float32).reshape(-1)))
+
+def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    """A list<float> Arrow column without nulls as rows of unit length (float32)."""
+    return unit(raw_matrix(column, dim))
 
 
 def unit_rows(df: DataFrame, dim: int) -> DataFrame:
