@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from engramql.functions.vectors import list_column, matrix, usable
+from engramql.functions.vectors import matrix, raw_matrix, unit, usable
 from engramql.operators.versions import last_rows
 from engramql.storage import cut
 
@@ -115,15 +115,14 @@ def _keys(m: np.ndarray, curve: tuple[np.ndarray, np.ndarray], bits: int) -> np.
 
 
 def place(vectors: DataFrame, curves: list, dim: int, bits: int) -> DataFrame:
-    """(curve, hkey, id, probe, embedding as unit vector): one row per curve."""
+    """(curve, hkey, id, probe, embedding): one row per curve."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             m = matrix(b.column("embedding"), dim)
-            unit = list_column(m)
             for c, curve in enumerate(curves):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(m), c, dtype=np.int32)), pa.array(_keys(m, curve, bits)), b.column("id"), b.column("probe"), unit],
+                    [pa.array(np.full(len(m), c, dtype=np.int32)), pa.array(_keys(m, curve, bits)), b.column("id"), b.column("probe"), b.column("embedding")],
                     names=["curve", "hkey", "id", "probe", "embedding"],
                 )
 
@@ -152,14 +151,14 @@ def window_pairs(placed: DataFrame, k: int, dim: int, window: int) -> DataFrame:
 
     def scan(ids: np.ndarray, probe: np.ndarray, m: np.ndarray, lo: int, hi: int) -> Iterator[pa.RecordBatch]:
         """Probes at lo..hi against the rows around them."""
+        u = unit(m)
         for start in range(lo, hi, 512):
             end = min(start + 512, hi)
             at = start + np.flatnonzero(probe[start:end])
             if not len(at):
                 continue
             first = max(0, start - window)
-            around = m[first : end + window]
-            cos = m[at] @ around.T
+            cos = u[at] @ u[first : end + window].T
             cos[np.arange(len(at)), at - first] = -2
             r, c = best_of(cos, k)
             other = c + first
@@ -173,7 +172,7 @@ def window_pairs(placed: DataFrame, k: int, dim: int, window: int) -> DataFrame:
         for b in batches:
             ids = np.concatenate([ids, b.column("id").to_numpy(zero_copy_only=False)])
             probe = np.concatenate([probe, b.column("probe").to_numpy(zero_copy_only=False)])
-            m = np.concatenate([m, b.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)])
+            m = np.concatenate([m, raw_matrix(b.column("embedding"), dim)])
             ready = max(done, len(ids) - window)
             yield from scan(ids, probe, m, done, ready)
             drop = max(0, ready - window)
@@ -199,14 +198,15 @@ def pack_blocks(first: DataFrame, dim: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            m = b.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            m = raw_matrix(b.column("embedding"), dim)
             ids = b.column("id")
             for s in range(0, len(m), BLOCK):
                 x = m[s : s + BLOCK]
-                mean = x.astype(np.float64).mean(0)
+                u = unit(x)
+                mean = u.astype(np.float64).mean(0)
                 length = np.linalg.norm(mean)
                 mean = mean / length if length > 1e-9 else np.eye(dim)[0]
-                reach = float(np.arccos(np.clip((x @ mean).min(), -1, 1)))
+                reach = float(np.arccos(np.clip((u @ mean).min(), -1, 1)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([ids.slice(s, BLOCK).to_pylist()], pa.list_(pa.string())), pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()), pa.array([mean.tolist()], pa.list_(pa.float64())), pa.array([reach])],
                     names=["ids", "packed", "mean", "reach"],
@@ -227,12 +227,13 @@ def exact_pass(blocks: DataFrame, packs: DataFrame, pack_count: int, k: int, dim
                 probes = np.array(b.column("probe_ids")[i].as_py(), dtype=object)
                 q = np.frombuffer(b.column("probe_packed")[i].as_py(), dtype=np.float32).reshape(-1, dim)
                 floor = np.array(b.column("floors")[i].as_py())
-                angle = np.arccos(np.clip(q @ np.array(b.column("mean")[i].as_py(), dtype=np.float32), -1, 1))
+                uq, um = unit(q), unit(m)
+                angle = np.arccos(np.clip(uq @ np.array(b.column("mean")[i].as_py(), dtype=np.float32), -1, 1))
                 may = np.cos(np.maximum(0, angle - b.column("reach")[i].as_py() - 1e-4)) >= floor - 1e-6
                 live = np.flatnonzero(may)
                 for s in range(0, len(live), 512):
                     at = live[s : s + 512]
-                    cos = q[at] @ m.T
+                    cos = uq[at] @ um.T
                     r, c = best_of(cos, k + 2)
                     keep = (cos[r, c] >= floor[at[r]] - 1e-6) & (probes[at[r]] != ids[c])
                     r, c = r[keep], c[keep]
@@ -251,7 +252,7 @@ def pack_probes(vectors: DataFrame, floors: DataFrame, dim: int) -> tuple[DataFr
 
     def run(table: pa.Table) -> pa.Table:
         r = table.column("r").combine_chunks()
-        m = matrix(r.field("embedding"), dim)
+        m = raw_matrix(r.field("embedding"), dim)
         return pa.Table.from_arrays(
             [table.column("pack").slice(0, 1), pa.array([r.field("id").to_pylist()], pa.list_(pa.string())), pa.array([m.tobytes()], pa.binary()), pa.array([r.field("floor").to_pylist()], pa.list_(pa.float64()))],
             names=["pack", "probe_ids", "probe_packed", "floors"],
