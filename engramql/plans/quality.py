@@ -47,5 +47,5 @@ def oracle_sql():
     return {
         "p2_found": _ORPHANS + "SELECT DISTINCT field, from_id, to_id, rel, state FROM found WHERE state IS NOT NULL",
         "p2_report": _ORPHANS
-        + "SELECT split_part(field, '.', 1) AS table_name, field, strftime("at", '%Y-%m') AS month, state, count(*) AS n FROM found WHERE state IS NOT NULL GROUP BY ALL",
+        + "SELECT split_part(field, '.', 1) AS table_name, field, strftime(found.at, '%Y-%m') AS month, state, count(*) AS n FROM found WHERE state IS NOT NULL GROUP BY ALL",
     }
