@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from engramql.llm import clusters, conversations, near_duplicates, neighbours
+from engramql.llm import clusters, conversations, near_duplicates, neighbours, packing, splitting, tokens
 from engramql.storage import table
 
 
@@ -41,6 +41,18 @@ def p7_ranked(spark, d):
     return found.select("probe_id", "other_id", F.round("cos", 6).alias("cos"), F.col("rank").cast("int").alias("rank"))
 
 
+def p8_ids(spark, d):
+    return tokens.encode_texts(table(spark, d, "documents"))
+
+
+def p9_containers(spark, d):
+    return packing.pack_documents(table(spark, d, "documents"))
+
+
+def p10_pieces(spark, d):
+    return splitting.split_documents(table(spark, d, "documents"))
+
+
 _WORDS = r"""
 WITH records AS (
   SELECT 'node' AS rec_kind, id, arg_max(value, landed_at) AS text FROM node GROUP BY id
@@ -128,6 +140,9 @@ def queries():
         "p6_clusters": p6_clusters,
         "p7_found": p7_found,
         "p7_ranked": p7_ranked,
+        "p8_ids": p8_ids,
+        "p9_containers": p9_containers,
+        "p10_pieces": p10_pieces,
     }
 
 
