@@ -93,7 +93,7 @@ def fit_curves(vectors: DataFrame, dim: int, curves: int, axes: int, bits: int,
     if rows.num_rows == 0:
         return []
     m = matrix(rows.column("embedding"), dim).astype(np.float64)
-    _, _, basis = np.linalg.svd(m - m.mean(0), full_matrices=True)
+    basis = np.linalg.eigh(np.cov(m.T))[1].T[::-1]  # dim x dim: the rows themselves are never decomposed
     out = []
     for c in range(curves):
         mix = np.eye(dim) if c == 0 else np.linalg.qr(rng.normal(size=(dim, dim)))[0]
