@@ -40,7 +40,7 @@ from engramql.storage import cut
 #: Buckets of the rarity table: 2**18 counts, 2 MB.
 SKETCH_BITS = 18
 #: A cell whose expected size is at most this is not refined further.
-CELL = 400
+CELL = 1500
 #: Words that a cell combines at most.
 DEPTH = 4
 LONGS = 4
@@ -103,23 +103,27 @@ def _mix(a: np.uint64 | np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def cells(words: np.ndarray, counts: np.ndarray, total: int, over: int, under: int) -> np.ndarray:
-    """Cell keys of a set whose words are in order of rarity.
+def cells(words: np.ndarray, counts: np.ndarray, total: int, over: int, under: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cell keys of a set whose words are in order of rarity, and whether each is early.
 
     ``counts`` are the rarity counts in that order.  Level l combines l words;
-    position p is open to the last word of level l while p < n - need + l.
+    position p is open to the last word of level l while p < n - need + l.  The
+    smaller set of a pair shares more of its own words (2 over n / (over +
+    under) at least), so its first common cell is early: within n - that + l.
     """
     n = len(words)
     need = -(-over * n // under)
+    early_need = -(-2 * over * n // (over + under))
     w = words.astype(np.uint64)
     share = counts / max(1, total)
-    keys = []
+    keys, early = [], []
     level = 1
     at = np.arange(min(n, n - need + 1))
     key, expect = w[at], counts[at].astype(np.float64)
     while len(at):
         done = (expect <= CELL) | (level == DEPTH) | (n - need + level >= n)
         keys.append(key[done])
+        early.append(at[done] < n - early_need + level)
         at, key, expect = at[~done], key[~done], expect[~done]
         if not len(at):
             break
@@ -129,13 +133,16 @@ def cells(words: np.ndarray, counts: np.ndarray, total: int, over: int, under: i
         src = np.repeat(np.arange(len(at)), length)
         nxt = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length) + at[src] + 1
         key, expect, at = _mix(key[src], w[nxt]), expect[src] * share[nxt], nxt
-    return np.concatenate(keys) if keys else np.empty(0, dtype=np.uint64)
+    return np.concatenate(keys), np.concatenate(early)
 
 
 def cell_rows(classes: DataFrame, table: np.ndarray, total: int, over: int, under: int) -> DataFrame:
-    """(cell, cls_no, n, c0..): a row for each class and cell."""
+    """(cell, size, cls_no, c0..): a row for each class and cell.
+
+    size is twice the number of words, plus one where the cell is not early.
+    """
     mask = (1 << SKETCH_BITS) - 1
-    names = ["cell", "cls_no", "n", *[f"c{i}" for i in range(LONGS)]]
+    names = ["cell", "size", "cls_no", *[f"c{i}" for i in range(LONGS)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -144,57 +151,58 @@ def cell_rows(classes: DataFrame, table: np.ndarray, total: int, over: int, unde
             ends = np.cumsum(lists.value_lengths().to_numpy())
             number = b.column("cls_no").to_numpy()
             kinds = b.column("salt").to_numpy().astype(np.uint64)
-            keys, sizes, codes = [], [], []
+            keys, sizes, codes = [], [], []  # a list of each class
             for i, end in enumerate(ends):
                 words = flat[ends[i - 1] if i else 0 : end]
                 counts = table[words & mask]
                 order = np.lexsort((words, counts))
-                k = np.unique(cells(words[order], counts[order], total, over, under)) ^ kinds[i]
-                keys.append(k)
-                sizes.append(len(words))
+                k, early = cells(words[order], counts[order], total, over, under)
+                keys.append(k ^ kinds[i])
+                sizes.append(2 * len(words) + ~early)
                 codes.append(unary_counts(words))
             lengths = np.array([len(k) for k in keys])
             if not len(lengths):
                 continue
-            code = np.array(codes).view(np.int64)
+            code = np.array(codes).view(np.int64)  # classes x LONGS
             at = np.repeat(np.arange(len(lengths)), lengths)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys).view(np.int64)), pa.array(number[at]), pa.array(np.array(sizes, dtype=np.int32)[at]), *[pa.array(code[at, i]) for i in range(LONGS)]], names=names
+                [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(sizes).astype(np.int32)), pa.array(number[at]), *[pa.array(code[at, i]) for i in range(LONGS)]], names=names
             )
 
-    return classes.select("words", "cls_no", "salt").mapInArrow(run, "cell bigint, cls_no bigint, n int, " + ", ".join(f"c{i} bigint" for i in range(LONGS)))
+    return classes.select("words", "cls_no", "salt").mapInArrow(run, "cell bigint, size int, cls_no bigint, " + ", ".join(f"c{i} bigint" for i in range(LONGS)))
 
 
 def joined_in_cells(placed: DataFrame, over: int, under: int) -> DataFrame:
     """(a, b): classes that share a cell and pass size and Manhattan bound.
 
-    Rows come sorted by cell; step s holds each row against the row s places
-    on while both lie in one cell, in flat arrays.  A cell that reaches over
-    batches is carried along.
+    Rows come sorted by cell and size; step s holds each row against the row s
+    places on while both lie in one cell, in flat arrays.  The left row is the
+    smaller one, so it must be early, and it is done with its cell once the
+    sizes are too far apart.  A cell that reaches over batches is carried along.
     """
 
-    def pairs(cell: np.ndarray, number: np.ndarray, n: np.ndarray, code: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(cell: np.ndarray, size: np.ndarray, number: np.ndarray, code: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         a, b = [], []
-        at = np.arange(len(cell))
+        n = size >> 1
+        at = np.flatnonzero((size & 1) == 0)
         step = 1
         while True:
             at = at[at + step < len(cell)]
-            at = at[cell[at] == cell[at + step]]
-            if not len(at):
-                break
             to = at + step
             x, y = n[at], n[to]
             # d words not shared of x + y: the similarity is at least over/under while d <= (x + y)(under - over)/(under + over)
             most = (x + y) * (under - over) // (under + over)
-            far = np.abs(x - y)
-            ok = far <= most
-            s, t = at[ok], to[ok]
+            ok = (cell[at] == cell[to]) & (y - x <= most)
+            at, to, most = at[ok], to[ok], most[ok]
+            if not len(at):
+                break
+            s, t = at, to
+            d = np.zeros(len(s), dtype=np.int64)
+            for i in range(LONGS):
+                d += np.bitwise_count(code[i][s] ^ code[i][t])
+                good = d <= most
+                s, t, d, most = s[good], t[good], d[good], most[good]
             if len(s):
-                d = np.bitwise_count(code[0][s] ^ code[0][t]).astype(np.int32)
-                for i in range(1, LONGS):
-                    d += np.bitwise_count(code[i][s] ^ code[i][t])
-                good = d <= most[ok]
-                s, t = s[good], t[good]
                 a.append(np.minimum(number[s], number[t]))
                 b.append(np.maximum(number[s], number[t]))
             step += 1
@@ -222,7 +230,7 @@ def joined_in_cells(placed: DataFrame, over: int, under: int) -> DataFrame:
         if held:
             yield from emit(held)
 
-    together = placed.repartition("cell").sortWithinPartitions("cell", "cls_no")
+    together = placed.repartition("cell").sortWithinPartitions("cell", "size", "cls_no")
     return together.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
