@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from engramql.llm import clusters, conversations, near_duplicates, neighbours, packing, splitting, tokens
+from engramql.llm import clusters, conversations, near_duplicates, neighbours, packing, pii, splitting, tokens
 from engramql.storage import table
 
 
@@ -16,6 +16,14 @@ def p1_groups(spark, d):
     return near_duplicates.near_groups(near_duplicates.word_records(table(spark, d, "node"), table(spark, d, "episode")))
 
 
+def p3_found(spark, d):
+    return pii.mentions(pii.texts(table(spark, d, "episode"), table(spark, d, "raw_calendar_event")), table(spark, d, "name_part"))
+
+
+def p3_redacted(spark, d):
+    return pii.redacted(pii.texts(table(spark, d, "episode"), table(spark, d, "raw_calendar_event")), table(spark, d, "name_part"))
+
+
 def p4_found(spark, d):
     return conversations.left_out_sessions(table(spark, d, "episode"))
 
@@ -134,6 +142,8 @@ def queries():
     return {
         "p1_found": p1_found,
         "p1_groups": p1_groups,
+        "p3_found": p3_found,
+        "p3_redacted": p3_redacted,
         "p4_found": p4_found,
         "p4_turns": p4_turns,
         "p6_found": p6_found,
