@@ -216,8 +216,11 @@ def pack_blocks(first: DataFrame, dim: int) -> DataFrame:
     return ordered.select("id", "embedding").mapInArrow(run, "ids array<string>, packed binary, mean array<double>, reach double")
 
 
-def exact_pass(blocks: DataFrame, packs: DataFrame, pack_count: int, k: int, dim: int) -> DataFrame:
-    """What lies above a probe's floor, from the blocks that can hold it."""
+def exact_pass(blocks: DataFrame, packs: DataFrame, pack_count: int, salts: int, k: int, dim: int) -> DataFrame:
+    """What lies above a probe's floor, from the blocks that can hold it.
+
+    Blocks are spread over ``salts``, since there may be few packs to join on.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -240,8 +243,9 @@ def exact_pass(blocks: DataFrame, packs: DataFrame, pack_count: int, k: int, dim
                     if len(r):
                         yield pa.RecordBatch.from_arrays([pa.array(probes[at[r]], pa.string()), pa.array(ids[c], pa.string()), pa.array(exact(q[at[r]], m[c]))], names=["probe_id", "other_id", "cos"])
 
-    spread = blocks.withColumn("pack", F.explode(F.sequence(F.lit(0), F.lit(max(0, pack_count - 1)))))
-    return spread.join(packs, "pack").select("ids", "packed", "mean", "reach", "probe_ids", "probe_packed", "floors").mapInArrow(run, PAIRS)
+    spread = blocks.withColumn("salt", F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(salts))).withColumn("pack", F.explode(F.sequence(F.lit(0), F.lit(pack_count - 1))))
+    held = packs.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    return spread.join(held, ["pack", "salt"]).select("ids", "packed", "mean", "reach", "probe_ids", "probe_packed", "floors").mapInArrow(run, PAIRS)
 
 
 def pack_probes(vectors: DataFrame, floors: DataFrame, dim: int) -> tuple[DataFrame, int]:
@@ -276,7 +280,8 @@ def nearest(vectors: DataFrame, probe_ids: DataFrame, k: int = 10, dim: int = 64
     floors = near.groupBy("probe_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("cos")).alias("floor"))
     packs, count = pack_probes(base, floors, dim)
     blocks = pack_blocks(place(base, fitted[:1], dim, bits), dim)
-    rest = exact_pass(blocks, packs, count, k, dim)
+    salts = max(1, -(-base.count() // (8 * BLOCK)))
+    rest = exact_pass(blocks, packs, count, salts, k, dim)
     return merge_best(near.select("probe_id", "other_id", "cos").unionByName(rest), k)
 
 
