@@ -5,7 +5,8 @@ live       nodes that are not tombstoned
 edges      last row of each (src, dst, rel), ids stripped and lower-cased
 episodes   first row of each id
 mem_events append-only event log: the rows of ``events``; a row's node and
-           episode are the first ids of a bucket of three hex digits
+           episode are the first ids of a bucket of three hex digits;
+           three events in a row share an episode
 due        dated nodes from ``orders``: the node of a bucket is due at the
            latest order date there
 ledger     one row per call from ``lineitem``
@@ -62,7 +63,7 @@ def mem_events(spark: SparkSession, d: str) -> DataFrame:
         F.col("event_id").alias("id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"),
         F.element_at(F.create_map(*[F.lit(x) for kv in EVENT_TYPES.items() for x in kv]), F.col("event_type")).alias("event_type"),
         F.col("value").alias("magnitude"), F.col("props").alias("payload"),
-        _bucket(F.col("event_id")).alias("nb"), _bucket(F.col("event_id") * 7).alias("eb"),
+        _bucket(F.col("event_id")).alias("nb"), _bucket(F.floor(F.col("event_id") / 3) % 512 * 8).alias("eb"),
     )
     n = _buckets(table(spark, d, "node").select("id")).select(F.col("bucket").alias("nb"), F.col("id").alias("node_id"))
     p = _buckets(table(spark, d, "episode").select("id")).select(F.col("bucket").alias("eb"), F.col("id").alias("episode_id"))
@@ -96,13 +97,13 @@ VIEWS = {
     "edges": """SELECT lower(trim(src)) AS src, lower(trim(dst)) AS dst, rel, w, last_access, kind FROM edge WHERE trim(src) <> '' AND trim(dst) <> ''
       QUALIFY row_number() OVER (PARTITION BY lower(trim(src)), lower(trim(dst)), rel ORDER BY landed_at DESC NULLS LAST, w DESC NULLS LAST, last_access DESC NULLS LAST, kind DESC NULLS LAST) = 1""",
     "episodes": "SELECT * EXCLUDE (landed_at) FROM episode QUALIFY row_number() OVER (PARTITION BY id ORDER BY landed_at NULLS LAST) = 1",
-    "mem_events": """SELECT e.event_id AS id, epoch_ms(e.ts) AS ts,
+    "mem_events": """SELECT e.event_id AS id, epoch_us(e.ts) // 1000 AS ts,
       CASE e.event_type WHEN 'signup' THEN 'confirm' WHEN 'click' THEN 'extend' WHEN 'view' THEN 'unrelated' WHEN 'error' THEN 'contradict_hold' WHEN 'purchase' THEN 'contradict_reconcile' END AS event_type,
       n.id AS node_id, p.id AS episode_id, e.value AS magnitude, e.props AS payload
       FROM events e
       LEFT JOIN (SELECT left(id, 3) AS b, min(id) AS id FROM node GROUP BY 1) n ON n.b = lpad(printf('%x', (e.event_id % 4096)::INT), 3, '0')
-      LEFT JOIN (SELECT left(id, 3) AS b, min(id) AS id FROM episode GROUP BY 1) p ON p.b = lpad(printf('%x', ((e.event_id * 7) % 4096)::INT), 3, '0')""",
-    "due": f"""SELECT n.id AS node_id, epoch_ms(o.o_orderdate) AS due_ms,
+      LEFT JOIN (SELECT left(id, 3) AS b, min(id) AS id FROM episode GROUP BY 1) p ON p.b = lpad(printf('%x', ((e.event_id // 3) % 512 * 8)::INT), 3, '0')""",
+    "due": f"""SELECT n.id AS node_id, epoch_us(o.o_orderdate) // 1000 AS due_ms,
       CASE WHEN o.o_orderpriority LIKE '1%' THEN 'deadline' WHEN o.o_orderpriority LIKE '2%' THEN 'meeting' ELSE 'other' END AS action_type,
       CASE WHEN o.o_orderkey % 5 = 0 THEN 'RRULE:FREQ=WEEKLY' END AS recurrence_rule,
       CASE o.o_orderkey % 7 WHEN 0 THEN 'dismissed' WHEN 1 THEN 'surfaced' WHEN 2 THEN 'snoozed' END AS outcome,
@@ -110,7 +111,7 @@ VIEWS = {
       FROM (SELECT *, lpad(printf('%x', (o_orderkey % 4096)::INT), 3, '0') AS b FROM orders
             QUALIFY row_number() OVER (PARTITION BY b ORDER BY o_orderdate DESC, o_orderkey DESC) = 1) o
       JOIN (SELECT left(id, 3) AS b, min(id) AS id FROM node GROUP BY 1) n ON n.b = o.b""",
-    "ledger": "SELECT l_returnflag AS feature_tag, epoch_ms(l_shipdate) AS ts, l_quantity::BIGINT AS input_tokens, l_linenumber::BIGINT AS output_tokens, l_partkey % 50 AS cache_tokens, l_extendedprice AS cost FROM lineitem",
+    "ledger": "SELECT l_returnflag AS feature_tag, epoch_us(l_shipdate) // 1000 AS ts, l_quantity::BIGINT AS input_tokens, l_linenumber::BIGINT AS output_tokens, l_partkey % 50 AS cache_tokens, l_extendedprice AS cost FROM lineitem",
 }
 NEEDS = {"live": ["nodes"]}
 
