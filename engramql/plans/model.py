@@ -2,7 +2,9 @@
 
 nodes      last row of each id
 live       nodes that are not tombstoned
-edges      last row of each (src, dst, rel), ids stripped and lower-cased
+edges      last row of each (src, dst, rel), ids stripped and lower-cased;
+           'abstracts' rows lead from member to schema and are turned around,
+           so that src is the schema
 episodes   first row of each id
 mem_events append-only event log: the rows of ``events``; a row's node and
            episode are the first ids of a bucket of three hex digits;
@@ -40,7 +42,10 @@ def live(spark: SparkSession, d: str, *columns: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "edge").select(F.lower(F.trim("src")).alias("src"), F.lower(F.trim("dst")).alias("dst"), "rel", "w", "last_access", "kind", "landed_at")
+    up = F.coalesce(F.col("kind") == "abstracts", F.lit(False))
+    a, b = F.lower(F.trim("src")), F.lower(F.trim("dst"))
+    ends = [F.when(up, b).otherwise(a).alias("src"), F.when(up, a).otherwise(b).alias("dst")]
+    e = table(spark, d, "edge").select(*ends, "rel", "w", "last_access", "kind", "landed_at")
     e = e.where("src <> '' AND dst <> ''")
     return last_rows(e, ["src", "dst", "rel"], ties=["w", "last_access", "kind"]).drop("landed_at")
 
@@ -94,8 +99,9 @@ def ledger(spark: SparkSession, d: str) -> DataFrame:
 VIEWS = {
     "nodes": "SELECT * EXCLUDE (landed_at) FROM node QUALIFY row_number() OVER (PARTITION BY id ORDER BY landed_at DESC NULLS LAST) = 1",
     "live": "SELECT * FROM nodes WHERE NOT coalesce(tombstoned, false)",
-    "edges": """SELECT lower(trim(src)) AS src, lower(trim(dst)) AS dst, rel, w, last_access, kind FROM edge WHERE trim(src) <> '' AND trim(dst) <> ''
-      QUALIFY row_number() OVER (PARTITION BY lower(trim(src)), lower(trim(dst)), rel ORDER BY landed_at DESC NULLS LAST, w DESC NULLS LAST, last_access DESC NULLS LAST, kind DESC NULLS LAST) = 1""",
+    "edges": """SELECT * EXCLUDE (landed_at) FROM (SELECT CASE WHEN kind = 'abstracts' THEN lower(trim(dst)) ELSE lower(trim(src)) END AS src, CASE WHEN kind = 'abstracts' THEN lower(trim(src)) ELSE lower(trim(dst)) END AS dst,
+      rel, w, last_access, kind, landed_at FROM edge) WHERE src <> '' AND dst <> ''
+      QUALIFY row_number() OVER (PARTITION BY src, dst, rel ORDER BY landed_at DESC NULLS LAST, w DESC NULLS LAST, last_access DESC NULLS LAST, kind DESC NULLS LAST) = 1""",
     "episodes": "SELECT * EXCLUDE (landed_at) FROM episode QUALIFY row_number() OVER (PARTITION BY id ORDER BY landed_at NULLS LAST) = 1",
     "mem_events": """SELECT e.event_id AS id, epoch_us(e.ts) // 1000 AS ts,
       CASE e.event_type WHEN 'signup' THEN 'confirm' WHEN 'click' THEN 'extend' WHEN 'view' THEN 'unrelated' WHEN 'error' THEN 'contradict_hold' WHEN 'purchase' THEN 'contradict_reconcile' END AS event_type,
