@@ -49,7 +49,7 @@ def percentiles(df: DataFrame, group: str, value: str, points: Sequence[int]) ->
 
 def breakeven(write: Column, save: Column, points: Sequence[int]) -> Column:
     """Exploded (n, net) of what remains of a cost after n uses."""
-    return F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.round(write - save * n, 6).alias("net")) for n in points]))
+    return F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.round(write - save * n, 4).alias("net")) for n in points]))
 
 
 def terciles(df: DataFrame, key: str, by: str) -> DataFrame:

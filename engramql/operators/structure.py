@@ -195,7 +195,8 @@ def induce_schemas(loose: DataFrame, known: list[np.ndarray], cfg: Settings = DE
     need enough members and cohesion, which is decided per bucket afterwards.
     """
     rows = loose.where(usable(F.col("embedding"), dim)).select("id", "embedding")
-    sample = rows.select("embedding", F.xxhash64("id", F.lit("bucket")).alias("h")).orderBy("h").limit(pivots).select("embedding").toArrow()
+    wanted = min(pivots, max(1, rows.count() // 64))
+    sample = rows.select("embedding", F.xxhash64("id", F.lit("bucket")).alias("h")).orderBy("h").limit(wanted).select("embedding").toArrow()
     centres = unit(raw_matrix(sample.column("embedding"), dim)) if sample.num_rows else np.zeros((1, dim), dtype=np.float32)
     held = np.stack(known) if known else np.zeros((0, dim))
     held = (held / np.linalg.norm(held, axis=1, keepdims=True)).astype(np.float32) if len(held) else held.astype(np.float32)

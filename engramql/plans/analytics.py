@@ -75,7 +75,7 @@ def percentile_ranks(spark, d):
 
 @reg.query(
     "breakeven",
-    "WITH c AS (SELECT source, avg(length(content)::DOUBLE) AS w, avg(salience) * 100 AS s FROM episodes WHERE content IS NOT NULL GROUP BY 1) SELECT source, n, round(w - s * n, 6) AS net FROM c, (SELECT unnest([1, 2, 5, 10, 20, 50]) AS n)",
+    "WITH c AS (SELECT source, avg(length(content)::DOUBLE) AS w, avg(salience) * 100 AS s FROM episodes WHERE content IS NOT NULL GROUP BY 1) SELECT source, n, round(w - s * n, 4) AS net FROM c, (SELECT unnest([1, 2, 5, 10, 20, 50]) AS n)",
     "episodes",
 )
 def breakeven(spark, d):

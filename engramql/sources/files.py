@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from engramql.config import DEFAULT
 from engramql.functions import scalars as S
 from engramql.functions.parsing import heading_sections
+from engramql.functions.text import stripped
 
 # Line forms of transcripts.
 SPEAKER_LINE = r"^([A-Z][\w .'-]{0,40}):\s*(.*)$"
@@ -120,7 +121,7 @@ def seed_nodes(files: DataFrame, salience: float = 0.1, confidence: float = 0.8)
     """
     kind = F.regexp_extract("content", r"(?s)^---.*?^type:\s*(\S+)", 1)
     paragraphs = files.select("path", kind.alias("note_type"), F.posexplode(F.split("content", r"\n\s*\n")).alias("pos", "raw"))
-    claims = paragraphs.select("path", "pos", "note_type", F.trim("raw").alias("value")).where("value <> '' AND NOT startswith(value, '---')")
+    claims = paragraphs.select("path", "pos", "note_type", stripped(F.col("raw")).alias("value")).where("value <> '' AND NOT startswith(value, '---')")
     claims = claims.withColumn("id", F.sha2(F.concat_ws("|", "path", "pos"), 256))
     by_value = claims.groupBy("value").agg(F.max_by("id", F.struct("path", "pos")).alias("id"))
     nodes = by_value.select("id", F.lit("fact").alias("type"), "value", F.sha2("value", 256).alias("value_hash"), F.lit(salience).alias("s"), F.lit(confidence).alias("c"))
