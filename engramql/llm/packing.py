@@ -8,7 +8,8 @@ and later items find what they need.  Ties take the fullest container.
 Items hash to shards of about ``SHARD`` items that are packed independently.
 What shards leave half empty is packed again: containers below ``refill`` of
 the capacity give their items back, which go to shards anew, until one shard
-has done them all.  Each round has a small part of the items of the one before.
+has done them all or a round would have more than half of the items of the one
+before (which then stay as they are), so the rounds end.
 
 Defined results: items of 0 tokens need no room and have a null container; an
 item above the capacity is cut into pieces of exactly the capacity, each its
@@ -96,16 +97,20 @@ def fill_containers(sizes: DataFrame, capacity: int = CAPACITY, refill: float =
         items.where(F.col("tokens") == capacity).withColumn("container", F.concat_ws("-", F.lit("full"), "item", "piece")),
     ]
     rest = items.where((F.col("tokens") > 0) & (F.col("tokens") < capacity))
-    round_no = 0
+    round_no, waiting = 0, rest.count()
     while True:
-        shards = max(1, -(-rest.count() // shard))
+        shards = max(1, -(-waiting // shard))
         packed = cut(pack_shards(rest, capacity, shards, round_no), f"packed{round_no}")
+        low = packed.where(F.col("fill") < refill * capacity)
+        again = low.count() if shards > 1 else 0
+        # sizes that leave room in every container (all above half of it, say) gain nothing from another round
+        last = shards == 1 or 2 * again > waiting
         named = F.concat_ws("-", "round", "shard", "slot")
-        kept = packed if shards == 1 else packed.where(F.col("fill") >= refill * capacity)
+        kept = packed if last else packed.where(F.col("fill") >= refill * capacity)
         done.append(kept.select("item", "piece", "first_token", "tokens", named.alias("container")))
-        if shards == 1:
+        if last:
             break
-        rest = packed.where(F.col("fill") < refill * capacity).select("item", "piece", "first_token", "tokens")
+        rest, waiting = low.select("item", "piece", "first_token", "tokens"), again
         round_no += 1
     out = done[0]
     for d in done[1:]:
