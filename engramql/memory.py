@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from engramql.config import DEFAULT, Settings
 from engramql.functions import scalars as S
 from engramql.functions import seams
-from engramql.operators import belief, graph, mutations, provenance, retrieval
+from engramql.operators import belief, documents, graph, mutations, provenance, retrieval
 from engramql.sources import ingest
 from engramql.sources.store import SnapshotStore
 
@@ -145,6 +145,34 @@ class Memory:
         self.add(row, now_ms)
         return answer
 
+    def remember(self, text: str, session_id: str, now_ms: int) -> dict[str, int]:
+        """State a fact at once: appended as the user's word and consolidated in the same call; a repeat of a stored value changes nothing."""
+        known = self.live.where(F.col("value_hash") == F.sha2(F.lit(text), 256)).limit(1).count()
+        if known:
+            return {}
+        row = self.spark.createDataFrame([(f"remember: {text}", "asserted_by_user", "user", session_id, now_ms)], "content string, origin string, role string, session_id string, ts bigint")
+        self.add(row.withColumn("content", F.concat(F.lit("Remember "), F.lit(text))), now_ms)
+        return self.consolidate(now_ms)
+
+    def ambient(self, text: str, k: int = 5, floor: float = 0.45) -> list[str]:
+        """Short lines of what a prompt touches, for injection beside it."""
+        found = self.search(text, k).where(F.col("cos") >= floor)
+        return [r.line for r in documents.ambient_lines(found).collect()]
+
+    def record_snapshot(self, questions: list[str], now_ms: int) -> DataFrame:
+        """(id, query, expected): present best matches of questions, to be replayed later."""
+        rows = []
+        for q in questions:
+            hit = retrieval.tri_state(self.nodes, self.embed(q), self.cfg.deleted_similarity).first()
+            value = self.nodes.where(F.col("id") == hit.id).first().value if hit.id else None
+            rows.append((seams.hashlib.sha256(q.encode()).hexdigest(), q, value, now_ms))
+        return self.spark.createDataFrame(rows, "id string, query string, expected string, ts bigint")
+
+    def replay_snapshot(self, recorded: DataFrame) -> DataFrame:
+        """(id, similarity, same) of recorded answers against present ones."""
+        now = self.record_snapshot([r.query for r in recorded.select("query").collect()], 0)
+        return documents.replayed(recorded, now.select("id", F.col("expected").alias("actual")), self.cfg.snapshot_match)
+
     def surface(self, due: DataFrame, now_ms: int) -> DataFrame:
         return retrieval.surface_rank(due, self.live, now_ms)
 

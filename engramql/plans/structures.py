@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from engramql.functions import scalars as S
+from engramql.operators import documents as D
 from engramql.operators import graph as G
 from engramql.operators import provenance as P
 from engramql.operators import retrieval as R
@@ -258,5 +259,40 @@ def scope_schemas(spark, d):
     return below.join(stamps, "dst").groupBy("scope").agg(F.countDistinct("src").alias("schemas"), F.countDistinct("dst").alias("members"))
 
 
+@reg.query("vector_index", f"SELECT id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS length FROM live WHERE {_OK}", "live")
+def vector_index(spark, d):
+    """S19."""
+    return D.vector_table(M.live(spark, d, "embedding"), 64).select("id", F.round("length", 6).alias("length"))
+
+
+_CITE = """txt AS (SELECT src AS doc_id, string_agg('see /fact/' || CASE WHEN left(dst, 1) < '6' THEN dst WHEN left(dst, 1) < 'c' THEN left(dst, 5) ELSE 'zz' || dst END, ' ' ORDER BY dst) AS text FROM edges WHERE kind = 'cites' GROUP BY 1),
+refs AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '/fact/([0-9A-Za-z-]{4,64})', 1)) AS ref FROM txt)"""
+
+
+@reg.query(
+    "citation_check",
+    f"""WITH {_CITE}, ex AS (SELECT r.*, n.id AS hit, coalesce(n.tombstoned, false) AS dead FROM refs r LEFT JOIN nodes n ON n.id = lower(r.ref)),
+    pre AS (SELECT e.doc_id, e.ref, min(n.id) AS pid, bool_or(coalesce(n.tombstoned, false)) AS pdead FROM ex e JOIN nodes n ON starts_with(n.id, lower(e.ref)) WHERE e.hit IS NULL GROUP BY 1, 2 HAVING count(*) = 1)
+    SELECT e.doc_id, e.ref, coalesce(e.hit, p.pid) AS id, CASE WHEN coalesce(e.hit, p.pid) IS NULL THEN 'invented' WHEN CASE WHEN e.hit IS NOT NULL THEN e.dead ELSE p.pdead END THEN 'deleted' ELSE 'ok' END AS state FROM ex e LEFT JOIN pre p USING (doc_id, ref)""",
+    "nodes edges",
+)
+def citation_check(spark, d):
+    """Texts that cite the targets of their edges by id, by prefix or wrongly."""
+    c = F.substring("dst", 1, 1)
+    name = F.when(c < "6", F.col("dst")).when(c < "c", F.substring("dst", 1, 5)).otherwise(F.concat(F.lit("zz"), "dst"))
+    e = M.edges(spark, d).where("kind = 'cites'").select(F.col("src").alias("doc_id"), F.concat(F.lit("see /fact/"), name).alias("x"))
+    texts = e.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("x")), " ").alias("text"))
+    return D.citations(texts, M.nodes(spark, d, "tombstoned"))
+
+
+@reg.query("predicate_paths")
+def predicate_paths(spark, d):
+    """A question's predicate and what lies along it from the anchors of its best matches."""
+    predicate = D.predicate_of(D.seams.embed("what does this use"), D.gloss_vectors())
+    e = M.edges(spark, d)
+    anchors = e.where("kind = 'relation'").select(F.col("src").alias("id")).distinct()
+    return G.typed_reach(e, anchors, [predicate], 5).withColumn("predicate", F.lit(predicate))
+
+
 queries = lambda: dict(reg.functions)
 oracle_sql = lambda: dict(reg.sql)

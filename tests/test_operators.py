@@ -260,3 +260,18 @@ def test_seams():
     assert seams.judge("The port is 81", "the port is 80").relation == "contradict"
     assert seams.judge("cats sleep", "the port is 80").relation == "unrelated"
     assert [c.value for c in seams.extract("One two three. No. Four five six!")] == ["One two three.", "Four five six!"]
+
+
+def test_citations_and_documents(spark):
+    from engramql.operators import documents as D
+
+    nodes = spark.createDataFrame([("abcd-1", False), ("abcd-2", False), ("ffff-1", True), ("eeee-1", False)], "id string, tombstoned boolean")
+    texts = spark.createDataFrame([("d", "x /fact/ABCD-1, /fact/abcd /fact/eeee /fact/ffff-1 /fact/none-9"), ("e", None)], "doc_id string, text string")
+    cited = D.citations(texts, nodes)
+    assert {r.ref: (r.id, r.state) for r in cited.collect()} == {"ABCD-1": ("abcd-1", "ok"), "abcd": (None, "invented"), "eeee": ("eeee-1", "ok"), "ffff-1": ("ffff-1", "deleted"), "none-9": (None, "invented")}
+    assert D.canonical_references(texts, cited).where("doc_id = 'd'").first().text == "x /fact/abcd-1,  /fact/eeee-1  "
+    old = spark.createDataFrame([("d", "gone", "cites", 0.1, 0, "cites"), ("z", "gone", "cites", 0.1, 0, "cites")], EDGE)
+    links = spark.createDataFrame([("d", "z")], "doc_id string, target string")
+    assert {(r.src, r.dst, r.kind) for r in D.document_edges(old, cited, links, 5).collect()} == {("d", "abcd-1", "cites"), ("d", "eeee-1", "cites"), ("d", "z", "doc_link"), ("z", "gone", "cites")}
+    assert D.predicate_of(seams.embed("what does this use"), D.gloss_vectors()) == "uses"
+    assert D.predicate_of([0.0] * 64, D.gloss_vectors()) is None

@@ -129,3 +129,13 @@ def test_memory_end_to_end(spark, tmp_path):
     assert "6379" in m.ask("What port does the cache server listen on?", 4 * day)
     assert m.episodes.where("origin = 'inferred' AND salience = 0").count() == 2
     assert m.events.count() == 2 and m.graph()[0].count() == 1
+
+
+def test_remember_ambient_and_snapshots(spark, tmp_path):
+    m = Memory(spark, f"file://{tmp_path}/m")
+    assert m.remember("the build runs on port 8080 every night", "s", 1000) == {"unrelated": 1}
+    value = m.live.first().value
+    assert m.remember(value, "s", 2000) == {}
+    assert m.ambient("build runs on port 8080 every night") == [f"- {value}"]
+    shot = m.record_snapshot([value], 3000)
+    assert [r.same for r in m.replay_snapshot(shot).collect()] == [True]
