@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from engramql.config import DAY_MS, DEFAULT, Settings
 from engramql.functions import scalars as S
 from engramql.functions import seams
-from engramql.functions.vectors import raw_matrix, unit, usable
+from engramql.functions.vectors import raw_matrix, usable
 
 BLOCK, PACK = 4096, 512
 
@@ -44,8 +44,8 @@ def nominate(claims: DataFrame, nodes: DataFrame, k: int = DEFAULT.candidate_k,
         for b in batches:
             for i in range(b.num_rows):
                 q, r = b.column("claims")[i].values, b.column("rows")[i].values
-                a, m = unit(raw_matrix(q.field("embedding"), dim)).astype(np.float64), unit(raw_matrix(r.field("embedding"), dim)).astype(np.float64)
-                cos = a @ m.T
+                a, m = (raw_matrix(x.field("embedding"), dim).astype(np.float64) for x in (q, r))
+                cos = (a @ m.T) / (np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(m, axis=1)[None, :])
                 take = min(k + 2, cos.shape[1])
                 cols = np.argpartition(-cos, take - 1, axis=1)[:, :take].reshape(-1)
                 rows = np.repeat(np.arange(len(a)), take)

@@ -46,9 +46,8 @@ def canonical_references(texts: DataFrame, cited: DataFrame) -> DataFrame:
     """(doc_id, text) with references that name a live node by its whole id, others taken out."""
     good = cited.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("ref", F.when(F.col("state") == "ok", F.concat(F.lit("/fact/"), "id")).otherwise("")))).alias("m"))
     j = texts.join(good, "doc_id", "left")
-    refs = F.array_distinct(F.regexp_extract_all("text", F.lit(FACT_REF), F.lit(1)))
-    longest_first = F.reverse(F.array_sort(F.transform(refs, lambda r: F.struct(F.length(r).alias("n"), r.alias("r")))))
-    text = F.aggregate(longest_first, F.col("text"), lambda acc, x: F.replace(acc, F.concat(F.lit("/fact/"), x["r"]), F.coalesce(F.element_at("m", x["r"]), F.lit(""))))
+    parts = F.split(F.regexp_replace("text", FACT_REF, "\u0001$1\u0001"), "\u0001")  # every second part is a reference
+    text = F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 1, F.coalesce(F.element_at("m", x), F.lit(""))).otherwise(x)), "")
     return j.select("doc_id", text.alias("text"))
 
 

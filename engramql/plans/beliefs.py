@@ -75,13 +75,13 @@ def route_contradiction(spark, d):
     "strengthen_fold",
     f"""WITH h AS (SELECT node_id AS id, ts, row_number() OVER (PARTITION BY node_id ORDER BY ts DESC, id DESC) - 1 AS after, max(ts) OVER (PARTITION BY node_id) AS e FROM mem_events WHERE event_type = 'confirm' AND node_id IS NOT NULL),
     p AS (SELECT id, sum(0.1e0 * pow(0.9e0, after) * exp(-0.05e0 * (e - ts) / {float(DAY_MS)}e0)) AS gain, count(*) AS k, max(e) AS e, min(ts) AS b FROM h GROUP BY id)
-    SELECT p.id, round(n.s * pow(0.9e0, k) * exp(-0.05e0 * (greatest(0, b - n.last_access) + e - b) / {float(DAY_MS)}e0) + gain, 6) AS s, round(1 - (1 - n.c) * pow(0.95e0, k), 6) AS c, k FROM p JOIN live n ON n.id = p.id""",
+    SELECT p.id, round(n.s * pow(0.9e0, k) * exp(-0.05e0 * (greatest(0, b - n.last_access) + e - b) / {float(DAY_MS)}e0) + gain, 6) AS s, round(1 - (1 - n.c) * pow(0.95e0, k), 9) AS c, k FROM p JOIN live n ON n.id = p.id""",
     "live mem_events",
 )
 def strengthen_fold(spark, d):
     """F18, ST7."""
     f = B.fold_confirmations(M.mem_events(spark, d), M.live(spark, d, "s", "c", "last_access"))
-    return f.select("id", F.round("s", 6).alias("s"), F.round("c", 6).alias("c"), "k")
+    return f.select("id", F.round("s", 6).alias("s"), F.round("c", 9).alias("c"), "k")
 
 
 @reg.query(
