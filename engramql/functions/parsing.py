@@ -136,3 +136,23 @@ def text_chunks(c: Column, most: int = 24_000) -> Column:
 def heading_sections(c: Column) -> Column:
     """A Markdown text before each level-one or level-two heading."""
     return F.filter(F.split(c, r"(?m)(?=^#{1,2} )"), lambda x: F.trim(x) != "")
+
+
+def subject_proposals(text: str | None, schema_ids: list[str], most: int = 200) -> list[dict]:
+    """Subjects a model proposes, as {name, slug, schemas}: names within ``most`` characters, each slug once, numbers of listed schemas only."""
+    body = text or ""
+    fence = body.find("```")
+    if fence >= 0:
+        body = body[fence:].split("\n", 1)[-1].rsplit("```", 1)[0]
+    out, seen = [], set()
+    for x in salvage_array(body):
+        name = x.get("name") if isinstance(x, dict) else None
+        if not isinstance(name, str) or not name.strip() or len(name) > most:
+            continue
+        slug = "-".join("".join(ch if ch.isascii() and ch.isalnum() else " " for ch in name.lower()).split())
+        numbers = x.get("schemas") if isinstance(x.get("schemas"), list) else []
+        ids = list(dict.fromkeys(schema_ids[n] for n in numbers if isinstance(n, int) and not isinstance(n, bool) and 0 <= n < len(schema_ids)))
+        if slug and slug not in seen and ids:
+            seen.add(slug)
+            out.append({"name": name.strip(), "slug": slug, "schemas": ids})
+    return out

@@ -108,3 +108,10 @@ def recall_at(found: DataFrame, gold: DataFrame, key: str, item: str, ks: Sequen
 def ring(df: DataFrame, most: int, order: str = "id") -> DataFrame:
     """The newest ``most`` rows: a top-k, so nothing else is kept."""
     return df.orderBy(F.col(order).desc()).limit(most)
+
+
+def daily_cap(df: DataFrame, at: str, most: int, key: str = "id") -> DataFrame:
+    """The first ``most`` rows of each UTC day of an epoch-millisecond column."""
+    day = F.floor(F.col(at) / 86_400_000)
+    w = Window.partitionBy("day").orderBy(at, key)
+    return df.withColumn("day", day).withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= most).drop("day", "pos")

@@ -275,3 +275,11 @@ def test_citations_and_documents(spark):
     assert {(r.src, r.dst, r.kind) for r in D.document_edges(old, cited, links, 5).collect()} == {("d", "abcd-1", "cites"), ("d", "eeee-1", "cites"), ("d", "z", "doc_link"), ("z", "gone", "cites")}
     assert D.predicate_of(seams.embed("what does this use"), D.gloss_vectors()) == "uses"
     assert D.predicate_of([0.0] * 64, D.gloss_vectors()) is None
+
+
+def test_subject_proposals_and_daily_cap(spark):
+    text = '```json\n[{"name":"Retry budget","schemas":[0,1,9,true]},{"name":"retry  BUDGET!","schemas":[0]},{"name":"x","schemas":[]},{"name":7}]\n```'
+    assert J.subject_proposals(text, ["a", "b"]) == [{"name": "Retry budget", "slug": "retry-budget", "schemas": ["a", "b"]}]
+    assert J.subject_proposals(None, []) == []
+    df = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("d", 86_400_001)], "id string, ts bigint")
+    assert {r.id for r in A.daily_cap(df, "ts", 2).collect()} == {"a", "b", "d"}
