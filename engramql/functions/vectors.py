@@ -51,6 +51,20 @@ def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return unit(raw_matrix(column, dim))
 
 
+def best_of(cos: np.ndarray, keep: int, slack: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column numbers of all values at most ``slack`` below the ``keep``-th largest of their row."""
+    if cos.shape[1] <= keep:
+        return np.indices(cos.shape).reshape(2, -1)
+    return np.nonzero(cos >= np.partition(cos, cos.shape[1] - keep, axis=1)[:, -keep, None] - slack)
+
+
+def first_of_row(rows: np.ndarray, cos: np.ndarray, order: np.ndarray, keep: int) -> np.ndarray:
+    """Places of the ``keep`` best entries of each row: largest cosine, then smallest ``order``."""
+    by = np.lexsort((order, -cos, rows))
+    r = rows[by]
+    return by[np.arange(len(r)) - np.searchsorted(r, r) < keep]
+
+
 def unit_rows(df: DataFrame, dim: int) -> DataFrame:
     """Keep usable vectors only; the other columns stay as they are."""
     return df.where(usable(F.col("embedding"), dim))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from engramql.functions.vectors import matrix, raw_matrix, unit, usable
+from engramql.functions.vectors import best_of, first_of_row, matrix, raw_matrix, unit, usable
 from engramql.operators.versions import last_rows
 from engramql.storage import cut
 
@@ -35,6 +35,8 @@ from engramql.storage import cut
 FIT_ROWS = 8192
 #: Rows of a block and probes of a pack (64 dimensions: 0.5 and 1 MB).
 BLOCK, PACK = 2048, 4096
+#: More than the error of a float32 cosine; what is nearer than this is decided in double precision.
+SLACK = 1e-5
 
 
 def live_vectors(node: DataFrame, dim: int = 64, types: tuple[str, ...] = (), without_origin: str | None = None) -> DataFrame:
@@ -129,20 +131,19 @@ def place(vectors: DataFrame, curves: list, dim: int, bits: int) -> DataFrame:
     return vectors.select("id", "probe", "embedding").mapInArrow(run, "curve int, hkey bigint, id string, probe boolean, embedding array<float>")
 
 
-def best_of(cos: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column numbers of the ``keep`` largest values of each row."""
-    if cos.shape[1] <= keep:
-        return np.indices(cos.shape).reshape(2, -1)
-    cols = np.argpartition(cos, cos.shape[1] - keep, axis=1)[:, -keep:]
-    return np.repeat(np.arange(len(cos)), keep), cols.reshape(-1)
-
-
 def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Cosines of paired rows in double precision."""
     a, b = a.astype(np.float64), b.astype(np.float64)
     return (a * b).sum(1) / np.sqrt((a * a).sum(1) * (b * b).sum(1))
 
 
+def best_pairs(q: np.ndarray, m: np.ndarray, order: np.ndarray, r: np.ndarray, c: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, columns, cosines) of the ``keep`` best of each row, by the rule of ``merge_best``."""
+    cos = np.concatenate([exact(q[r[s : s + 65536]], m[c[s : s + 65536]]) for s in range(0, len(r), 65536)] or [np.empty(0)])
+    at = first_of_row(r, np.round(cos, 9), order[c], keep)
+    return r[at], c[at], cos[at]
+
+
 PAIRS = "probe_id string, other_id string, cos double"
 
 
@@ -160,11 +161,11 @@ def window_pairs(placed: DataFrame, k: int, dim: int, window: int) -> DataFrame:
             first = max(0, start - window)
             cos = u[at] @ u[first : end + window].T
             cos[np.arange(len(at)), at - first] = -2
-            r, c = best_of(cos, k)
-            other = c + first
-            keep = ids[at[r]] != ids[other]
-            r, other = r[keep], other[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at[r]], pa.string()), pa.array(ids[other], pa.string()), pa.array(exact(m[at[r]], m[other]))], names=["probe_id", "other_id", "cos"])
+            r, c = best_of(cos, k, SLACK)
+            keep = ids[at[r]] != ids[c + first]  # a row of another curve may be in the window
+            near = m[first : end + window]
+            r, c, cosines = best_pairs(m[at], near, np.argsort(np.argsort(ids[first : end + window])), r[keep], c[keep], k)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at[r]], pa.string()), pa.array(ids[c + first], pa.string()), pa.array(cosines)], names=["probe_id", "other_id", "cos"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, probe, m = np.empty(0, dtype=object), np.empty(0, dtype=bool), np.empty((0, dim), dtype=np.float32)
@@ -232,16 +233,17 @@ def exact_pass(blocks: DataFrame, packs: DataFrame, pack_count: int, salts: int,
                 floor = np.array(b.column("floors")[i].as_py())
                 uq, um = unit(q), unit(m)
                 angle = np.arccos(np.clip(uq @ np.array(b.column("mean")[i].as_py(), dtype=np.float32), -1, 1))
-                may = np.cos(np.maximum(0, angle - b.column("reach")[i].as_py() - 1e-4)) >= floor - 1e-6
+                may = np.cos(np.maximum(0, angle - b.column("reach")[i].as_py() - 1e-4)) >= floor - SLACK
                 live = np.flatnonzero(may)
+                order = np.argsort(np.argsort(ids))
                 for s in range(0, len(live), 512):
                     at = live[s : s + 512]
                     cos = uq[at] @ um.T
-                    r, c = best_of(cos, k + 2)
-                    keep = (cos[r, c] >= floor[at[r]] - 1e-6) & (probes[at[r]] != ids[c])
-                    r, c = r[keep], c[keep]
+                    r, c = best_of(cos, k + 1, SLACK)  # the probe itself may be among them
+                    keep = (cos[r, c] >= floor[at[r]] - SLACK) & (probes[at[r]] != ids[c])
+                    r, c, cosines = best_pairs(q[at], m, order, r[keep], c[keep], k)
                     if len(r):
-                        yield pa.RecordBatch.from_arrays([pa.array(probes[at[r]], pa.string()), pa.array(ids[c], pa.string()), pa.array(exact(q[at[r]], m[c]))], names=["probe_id", "other_id", "cos"])
+                        yield pa.RecordBatch.from_arrays([pa.array(probes[at[r]], pa.string()), pa.array(ids[c], pa.string()), pa.array(cosines)], names=["probe_id", "other_id", "cos"])
 
     spread = blocks.withColumn("salt", F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(salts))).withColumn("pack", F.explode(F.sequence(F.lit(0), F.lit(pack_count - 1))))
     held = packs.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))

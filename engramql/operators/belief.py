@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from engramql.config import DAY_MS, DEFAULT, Settings
 from engramql.functions import scalars as S
 from engramql.functions import seams
-from engramql.functions.vectors import raw_matrix, usable
+from engramql.functions.vectors import best_of, first_of_row, raw_matrix, usable
 
 BLOCK, PACK = 4096, 512
 
@@ -46,9 +46,10 @@ def nominate(claims: DataFrame, nodes: DataFrame, k: int = DEFAULT.candidate_k,
                 q, r = b.column("claims")[i].values, b.column("rows")[i].values
                 a, m = (raw_matrix(x.field("embedding"), dim).astype(np.float64) for x in (q, r))
                 cos = (a @ m.T) / (np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(m, axis=1)[None, :])
-                take = min(k + 2, cos.shape[1])
-                cols = np.argpartition(-cos, take - 1, axis=1)[:, :take].reshape(-1)
-                rows = np.repeat(np.arange(len(a)), take)
+                cos = np.round(cos, 6)  # the order below, so ties are kept whole until ids decide
+                rows, cols = best_of(cos, k + 1, 0.0)
+                at = first_of_row(rows, cos[rows, cols], np.argsort(np.argsort(np.array(r.field("id").to_pylist(), dtype=object)))[cols], k + 1)
+                rows, cols = rows[at], cols[at]
                 yield pa.RecordBatch.from_arrays([q.field("claim_id").take(pa.array(rows)), r.field("id").take(pa.array(cols)), pa.array(cos[rows, cols])], names=["claim_id", "node_id", "cos"])
 
     found = packs.join(blocks, "salt").select("claims", "rows").mapInArrow(run, "claim_id string, node_id string, cos double").where("claim_id <> node_id")

@@ -62,6 +62,32 @@ def test_curve_windows_alone_find_close_neighbours(spark):
     assert len(found & want) >= 0.9 * len(want)
 
 
+def test_nearest_among_copies_takes_the_smaller_ids(spark):
+    """Far more copies than k+2 in one block: the ids decide, and not the place in the block."""
+    rng = np.random.default_rng(5)
+    m = np.concatenate([np.repeat(rng.normal(size=(1, 16)), 300, axis=0), rng.normal(size=(600, 16))]).astype(np.float32)
+    ids = [f"n{i:04d}" for i in rng.permutation(len(m))]
+    df = nodes(spark, [(i, "fact", "observed", False, v.tolist(), T) for i, v in zip(ids, m)])
+    probes = spark.createDataFrame([(i,) for i in ids[:900:30]], "node_id string")
+    got = {}
+    for r in N.nearest(N.live_vectors(df, 16), probes, 5, 16, window=40).collect():
+        got.setdefault(r.probe_id, []).append((r["rank"], r.other_id))
+    u = m.astype(np.float64) / np.linalg.norm(m.astype(np.float64), axis=1, keepdims=True)
+    for p in ids[:900:30]:
+        cos = u @ u[ids.index(p)]
+        want = sorted((j for j in range(len(m)) if ids[j] != p), key=lambda j: (-round(cos[j], 9), ids[j]))[:5]
+        assert [o for _, o in sorted(got[p])] == [ids[j] for j in want]
+
+
+def test_nominations_among_copies_take_the_smaller_ids(spark):
+    from engramql.operators.belief import nominate
+
+    ids = [f"n{i:03d}" for i in np.random.default_rng(6).permutation(200)]
+    n = spark.createDataFrame([(i, [1.0, 0.0]) for i in ids], "id string, embedding array<float>")
+    c = spark.createDataFrame([("claim", [1.0, 0.5])], "id string, embedding array<float>")
+    assert sorted(r.node_id for r in nominate(c, n, 5, 2).collect()) == [f"n{i:03d}" for i in range(5)]
+
+
 def test_hilbert_neighbours_differ_in_one_axis_by_one():
     for axes, bits in ((2, 4), (3, 3)):
         side = 2**bits
