@@ -1,20 +1,18 @@
 """Similarity clusters of vectors by density peaks.
 
-Exact copies are one weighted row.  Rows meet in blocked neighbour joins: each
-row goes to its ``spread`` nearest pivots (a bounded hash sample of the rows),
-and a block of more than ``LEAF`` rows is split again by pivots of its own, each
-row going to the two nearest, so that similar rows stay together.  What is
-still larger after ``ROUNDS`` splits is salted.  Inside a leaf the density peaks
-are found: local density (weighted neighbours at
-``threshold`` or more), the nearest denser row, peaks (rows with no denser row
-within the threshold) and labels along the pointers.  A leaf emits one line per
-row, never its pairs.  Since a row lies in several leaves, the leaves' peaks of
-one cluster are linked; linked peaks are one cluster, by connected components
-over peaks only.
+Exact copies are one weighted row.  Rows lie in cells by their nearest pivot (a
+bounded hash sample), cells in packs, and every pack of a type meets every other
+once.  A cell is held against all rows that its mean and widest angle do not
+rule out, so no pair at ``threshold`` is missed, whatever the pivots.  A first
+pass counts each row's local density (weighted neighbours at ``threshold`` or
+more), a second one, over rows with neighbours only, finds the nearest denser
+row.  Rows without a denser neighbour are peaks; clusters are the trees of
+pointers below them, by connected components.  A pair of packs emits at most a
+line per row and cell, never its pairs.
 
 Densities tie on purpose to the smaller id, so the result does not depend on
-the order of rows.  A tight cluster of any size is spread over as many leaves
-as it needs; the work is rows x spread x LEAF.
+the order of rows.  The first pass grows with the square of the rows of a type
+that lie far from every pivot.
 
 Defined results: unusable vectors are left out; a row without neighbours is a
 cluster of its own; null types form one type ''.
@@ -22,28 +20,28 @@ cluster of its own; null types form one type ''.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from engramql.functions.vectors import matrix
-from engramql.llm.neighbours import live_vectors
+from engramql.functions.vectors import first_of_row, matrix, raw_matrix, unit
+from engramql.llm.neighbours import SLACK, exact, live_vectors
 from engramql.operators.components import components
 from engramql.storage import cut
 
 #: At most so many pivots, a sample by hash; at 64 dimensions 1 MB.
 MAX_PIVOTS = 4096
-#: Rows of a leaf, about.
-LEAF = 1024
-#: Splits of a block, and pivots of one split at most.
-ROUNDS, SUB_PIVOTS = 4, 64
+#: Rows of a pack (64 dimensions: 2 MB) and of a piece of a cell at most.
+PACK, LEAF = 8192, 1024
+#: Cosine to its pivot below which a row does not widen the pivot's cell.
+CORE = 0.7
 
 
 def leaf_labels(cos: np.ndarray, weight: np.ndarray, order: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Density peaks of a leaf: (density, peak of each row).
+    """Density peaks by their definition, over one matrix of cosines: (density, peak of each row).
 
     ``order`` decides equal densities: the smaller is taken as denser.
     """
@@ -75,105 +73,149 @@ def weighted_rows(keyed: DataFrame) -> DataFrame:
     return g.select("id", "type", "embedding", "weight", "h1", "h2")
 
 
-PLACED = "block bigint, id string, type string, unit binary, weight bigint"
+PLACED = "cell int, id string, type string, vector binary, weight bigint"
 
 
-def place_rows(rows: DataFrame, dim: int, spread: int) -> DataFrame:
-    """Each row at its nearest pivots: (block, id, type, unit, weight)."""
-    total = rows.count()
-    wanted = int(min(MAX_PIVOTS, max(1, total // 128)))
+def place_rows(rows: DataFrame, dim: int) -> DataFrame:
+    """Each row with its cell: its nearest pivot, apart by whether it is within ``CORE`` of it.
+
+    Cells decide only what lies beside what; no result depends on them.
+    """
+    wanted = int(min(MAX_PIVOTS, max(1, rows.count() // 128)))
     sample = rows.select("embedding", F.xxhash64("id", F.lit("pivot")).alias("h")).orderBy("h").limit(wanted).select("embedding").toArrow()
-    if sample.num_rows == 0:
-        pivots = np.zeros((1, dim), dtype=np.float32)
-    else:
-        pivots = matrix(sample.column("embedding"), dim)
-    take = min(spread, len(pivots))
+    pivots = matrix(sample.column("embedding"), dim) if sample.num_rows else np.zeros((1, dim), dtype=np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            m = matrix(b.column("embedding"), dim)
-            near = np.argpartition(-(m @ pivots.T), take - 1, axis=1)[:, :take] if len(m) else np.empty((0, take), dtype=np.int64)
-            at = np.repeat(np.arange(len(m)), take)
-            unit = pa.array([x.tobytes() for x in m], pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(near.reshape(-1).astype(np.int64)), b.column("id").take(pa.array(at)), b.column("type").take(pa.array(at)), unit.take(pa.array(at)), b.column("weight").take(pa.array(at))],
-                names=["block", "id", "type", "unit", "weight"],
-            )
+            raw = raw_matrix(b.column("embedding"), dim)
+            cos = unit(raw) @ pivots.T
+            cell = cos.argmax(1) + np.where(cos.max(1) >= CORE, 0, len(pivots))
+            vector = pa.array([x.tobytes() for x in raw], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), b.column("id"), b.column("type"), vector, b.column("weight")], names=["cell", "id", "type", "vector", "weight"])
 
     return rows.select("id", "type", "embedding", "weight").mapInArrow(run, PLACED)
 
 
-def split_blocks(placed: DataFrame, dim: int) -> DataFrame:
-    """Blocks above ``LEAF`` rows cut by pivots of their own, up to ``ROUNDS`` times.
+def pack_rows(placed: DataFrame) -> DataFrame:
+    """Rows of a type by cell in packs of at most ``PACK``: (type, pack, ids, vectors, cells, masses); pack is its first id."""
 
-    A large block is read in chunks of about ``LEAF`` rows beside its few
-    pivots, so no task holds a block.  Only blocks that are too large move.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            types = np.array(b.column("type").to_pylist(), dtype=object)
+            ends = [*(np.flatnonzero(types[1:] != types[:-1]) + 1), len(types)]
+            for first, end in zip([0, *ends[:-1]], ends):
+                for s in range(first, end, PACK):
+                    t = b.slice(s, min(PACK, end - s))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([types[s]], pa.string()), t.column("id").slice(0, 1), pa.array([t.column("id").to_pylist()], pa.list_(pa.string())), pa.array([b"".join(t.column("vector").to_pylist())], pa.binary()),
+                         pa.array([t.column("cell").to_pylist()], pa.list_(pa.int32())), pa.array([t.column("mass").to_pylist()], pa.list_(pa.int64()))],
+                        names=["type", "pack", "ids", "vectors", "cells", "masses"],
+                    )
+
+    ordered = placed.repartitionByRange("type", "cell", "id").sortWithinPartitions("type", "cell", "id")
+    return ordered.select("type", "id", "vector", "cell", "mass").mapInArrow(run, "type string, pack string, ids array<string>, vectors binary, cells array<int>, masses array<bigint>")
+
+
+def near_rows(a: np.ndarray, b: np.ndarray, cells: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows of ``a``, rows of ``b``, cosines) at the threshold, all of them, cell after cell of ``a``.
+
+    A cell meets the rows of ``b`` that its mean and widest angle do not rule
+    out.  Cosines next to the threshold are decided in double precision.
     """
+    ua, ub = unit(a), unit(b)
+    widest = np.arccos(threshold)
+    starts = [0, *(np.flatnonzero(cells[1:] != cells[:-1]) + 1)]
+    for first, end in zip(starts, [*starts[1:], len(cells)]):
+        for s in range(first, end, LEAF):
+            x = ua[s : min(s + LEAF, end)]
+            mean = x.astype(np.float64).mean(0)
+            length = np.linalg.norm(mean)
+            mean = mean / length if length > 1e-9 else np.eye(a.shape[1])[0]
+            reach = np.arccos(np.clip((x @ mean).min(), -1, 1))
+            at = np.flatnonzero(np.arccos(np.clip(ub @ mean.astype(np.float32), -1, 1)) <= widest + reach + 2e-3)
+            cos = x @ ub[at].T
+            r, c = np.nonzero(cos >= threshold - SLACK)
+            near, r, c = cos[r, c].astype(np.float64), r + s, at[c]
+            close = np.flatnonzero(near < threshold + SLACK)
+            near[close] = exact(a[r[close]], b[c[close]])
+            keep = near >= threshold
+            yield r[keep], c[keep], near[keep]
+
+
+def meet(packs: DataFrame, dim: int, threshold: float, found: Callable, schema: str) -> DataFrame:
+    """Every pack of a type against every other and itself, once; ``found`` makes rows of a side's ids from pairs."""
 
-    def nearest_two(rows: pa.Table, pivots: pa.Table) -> pa.Table:
-        m = np.frombuffer(b"".join(rows.column("unit").to_pylist()), dtype=np.float32).reshape(-1, dim)
-        p = np.frombuffer(b"".join(pivots.column("pivots")[0].as_py()), dtype=np.float32).reshape(-1, dim)
-        take = min(2, len(p))
-        near = np.argpartition(-(m @ p.T), take - 1, axis=1)[:, :take]
-        at = pa.array(np.repeat(np.arange(len(m)), take))
-        own = rows.select(["id", "type", "unit", "weight", "block"]).take(at)
-        return own.append_column("sub", pa.array(near.reshape(-1).astype(np.int32)))
-
-    done = []
-    for level in range(ROUNDS):
-        sizes = placed.groupBy("type", "block").agg(F.count(F.lit(1)).alias("n"))
-        large = cut(sizes.where(F.col("n") > LEAF), "large")
-        if not large.limit(1).count():
-            break
-        done.append(placed.join(large, ["type", "block"], "left_anti"))
-        rows = placed.join(large, ["type", "block"]).withColumn("chunks", F.ceil(F.col("n") / LEAF)).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
-        w = Window.partitionBy("type", "block").orderBy(F.xxhash64("id", F.lit(level)), "id")
-        wanted = F.least(F.lit(SUB_PIVOTS), F.ceil(4 * F.col("n") / LEAF))
-        first = rows.withColumn("i", F.row_number().over(w)).where(F.col("i") <= SUB_PIVOTS).where(F.col("i") <= wanted)
-        few = cut(first.groupBy("type", "block", "chunks").agg(F.collect_list("unit").alias("pivots")), "pivots")
-        pivots = few.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
-        keys = ["type", "block", "chunk"]
-        cut_up = rows.groupBy(*keys).cogroup(pivots.groupBy(*keys)).applyInArrow(nearest_two, "id string, type string, unit binary, weight bigint, block bigint, sub int")
-        placed = cut(cut_up.select(F.xxhash64("block", "sub", F.lit(level)).alias("block"), "id", "type", "unit", "weight"), "split")
-    for d in done:
-        placed = placed.unionByName(d)
-    return placed
-
-
-def leaf_peaks(placed: DataFrame, dim: int, threshold: float) -> DataFrame:
-    """(id, peak, density) per leaf.  The salt of what is still too large hashes id and block, so its leaves overlap."""
-    sizes = placed.groupBy("type", "block").agg(F.count(F.lit(1)).alias("size"))
-    salted = placed.join(sizes, ["type", "block"]).select(
-        "type", "block", F.pmod(F.xxhash64("id", "block"), F.ceil(F.col("size") / (2 * LEAF))).alias("salt"), "id", "unit", "weight"
-    )
-
-    def run(table: pa.Table) -> pa.Table:
-        ids = table.column("id").combine_chunks()
-        m = np.frombuffer(b"".join(table.column("unit").to_pylist()), dtype=np.float32).reshape(-1, dim)
-        order = np.argsort(np.argsort(np.array(ids.to_pylist(), dtype=object)))
-        density, peak = leaf_labels(m @ m.T, table.column("weight").to_numpy().astype(np.float64), order, threshold)
-        return pa.Table.from_arrays([ids, ids.take(pa.array(peak)), pa.array(density)], names=["id", "peak", "density"])
-
-    return salted.groupBy("type", "block", "salt").applyInArrow(run, "id string, peak string, density double")
-
-
-def density_clusters(vectors: DataFrame, threshold: float = 0.75, dim: int = 64, spread: int = 6) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            for i in range(t.num_rows):
+                ids, vectors, masses = [], [], []
+                for side in ("", "2"):
+                    ids.append(np.array(t.column("ids" + side)[i].as_py(), dtype=object))
+                    vectors.append(np.frombuffer(t.column("vectors" + side)[i].as_py(), dtype=np.float32).reshape(-1, dim))
+                    masses.append(np.array(t.column("masses" + side)[i].as_py(), dtype=np.int64))
+                same = t.column("pack")[i].as_py() == t.column("pack2")[i].as_py()
+                yield from found(ids, vectors, masses, near_rows(*vectors, np.array(t.column("cells")[i].as_py()), threshold), same)
+
+    other = packs.select("type", *(F.col(c).alias(c + "2") for c in ("pack", "ids", "vectors", "masses")))
+    names = packs.select("type", "pack").join(other.select("type", "pack2"), "type").where("pack <= pack2")
+    both = names.join(packs, ["type", "pack"]).join(other, ["type", "pack2"])
+    return both.select("pack", "pack2", "ids", "vectors", "cells", "masses", "ids2", "vectors2", "masses2").mapInArrow(run, schema)
+
+
+def neighbour_counts(packs: DataFrame, dim: int, threshold: float) -> DataFrame:
+    """(id, n): weights of the other rows at the threshold; rows without one are not there."""
+
+    def found(ids, vectors, masses, pairs, same) -> Iterator[pa.RecordBatch]:
+        n = [np.zeros(len(x)) for x in ids]
+        for r, c, _ in pairs:
+            if same:
+                r, c = r[r != c], c[r != c]
+            n[0] += np.bincount(r, masses[1][c], len(n[0]))
+            n[1] += np.bincount(c, masses[0][r], len(n[1]))
+        for x, k in zip(ids[: 1 if same else 2], n):
+            at = np.flatnonzero(k)
+            yield pa.RecordBatch.from_arrays([pa.array(x[at], pa.string()), pa.array(k[at].astype(np.int64))], names=["id", "n"])
+
+    return meet(packs, dim, threshold, found, "id string, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+
+
+def denser_neighbours(packs: DataFrame, dim: int, threshold: float) -> DataFrame:
+    """(id, parent): the nearest denser row at the threshold; peaks are not there.  The mass of a row is its density."""
+
+    def found(ids, vectors, masses, pairs, same) -> Iterator[pa.RecordBatch]:
+        names = np.concatenate(ids)
+        place = np.empty(len(names), dtype=np.int64)
+        place[np.argsort(names, kind="stable")] = np.arange(len(names))
+        order = np.split(place, [len(ids[0])])
+        for r, c, cos in pairs:
+            for x, y, p, q in ((0, 1, r, c), (1, 0, c, r))[: 1 if same else 2]:
+                up = (masses[y][q] > masses[x][p]) | ((masses[y][q] == masses[x][p]) & (ids[y][q] < ids[x][p]))
+                p, q, near = p[up], q[up], cos[up]
+                most = np.full(len(ids[x]), -2.0)
+                np.maximum.at(most, p, near)
+                top = near >= most[p] - SLACK
+                p, q = p[top], q[top]
+                near = np.round(exact(vectors[x][p], vectors[y][q]), 9)
+                at = first_of_row(p, near, order[y][q], 1)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[x][p[at]], pa.string()), pa.array(ids[y][q[at]], pa.string()), pa.array(near[at])], names=["id", "parent", "cos"])
+
+    best = F.min_by("parent", F.struct(-F.col("cos"), F.col("parent")))
+    return meet(packs, dim, threshold, found, "id string, parent string, cos double").groupBy("id").agg(best.alias("parent"))
+
+
+def density_clusters(vectors: DataFrame, threshold: float = 0.75, dim: int = 64) -> DataFrame:
     """(label, id, type, density): each row with its cluster; label is the smallest id.
 
-    density is the largest local density of the row in its leaves, copies
-    included.
+    density counts the rows of the type at the threshold, the row and copies included.
     """
     keyed = cut(keyed_vectors(vectors), "keyed")
     rows = cut(weighted_rows(keyed), "rows")
-    placed = split_blocks(place_rows(rows, dim, spread), dim)
-    found = cut(leaf_peaks(placed, dim, threshold), "peaks")
-    own = found.groupBy("id").agg(F.min("peak").alias("peak"), F.max("density").alias("density"), F.collect_set("peak").alias("peaks"))
-    own = cut(own, "own")
-    links = own.where(F.size("peaks") > 1).select(F.col("peak").alias("a"), F.explode("peaks").alias("b")).where("a <> b")
-    roots = components(links)
-    labelled = own.join(roots, own.peak == roots.v, "left").select("id", F.coalesce("label", "peak").alias("root"), "density")
-    first = labelled.groupBy("root").agg(F.min("id").alias("label"))
-    named = labelled.join(first, "root").select(F.col("id").alias("rep"), "label", "density")
+    placed = cut(place_rows(rows, dim), "placed")
+    counts = cut(neighbour_counts(cut(pack_rows(placed.withColumn("mass", F.col("weight"))), "packs"), dim, threshold), "counts")
+    own = rows.select("id", "weight").join(counts, "id", "left").select("id", (F.col("weight") + F.coalesce("n", F.lit(0))).alias("density"))
+    grouped = placed.join(counts, "id").withColumn("mass", F.col("weight") + F.col("n"))  # single rows are done
+    links = denser_neighbours(cut(pack_rows(grouped), "packs"), dim, threshold).select(F.col("id").alias("a"), F.col("parent").alias("b"))
+    named = own.join(components(links), own.id == F.col("v"), "left").select(F.col("id").alias("rep"), F.coalesce("label", "id").alias("label"), F.col("density").cast("double").alias("density"))
     copies = rows.select(F.col("id").alias("rep"), "type", "h1", "h2").join(named, "rep").select("type", "h1", "h2", "label", "density")
     return keyed.select("id", "type", "h1", "h2").join(copies, ["type", "h1", "h2"]).select("label", "id", "type", "density")
 

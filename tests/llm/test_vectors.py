@@ -140,6 +140,27 @@ def test_clusters_against_brute_force(spark, monkeypatch):
     assert top["g000-00000"].size == 400 and len(top["g000-00000"].typical.split()) == 3
 
 
+def test_clusters_are_those_of_the_definition(spark, monkeypatch):
+    """Small groups at cosines little above the threshold among many rows: none is torn by pivots."""
+    monkeypatch.setattr(K, "LEAF", 64)
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=(700, 64))
+    centre /= np.linalg.norm(centre, axis=1, keepdims=True)
+    noise = rng.normal(size=(2100, 64))
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    m = np.concatenate([np.repeat(centre, 3, axis=0) + 0.5 * noise, rng.normal(size=(1900, 64))]).astype(np.float32)
+    ids = [f"n{i:04d}" for i in rng.permutation(len(m))]
+    df = nodes(spark, [(i, "fact", "observed", False, v.tolist(), T) for i, v in zip(ids, m)])
+    u = m.astype(np.float64) / np.linalg.norm(m.astype(np.float64), axis=1, keepdims=True)
+    density, peak = K.leaf_labels(u @ u.T, np.ones(len(m)), np.argsort(np.argsort(ids)), 0.75)
+    first = {}
+    for i, p in zip(ids, peak):
+        first[p] = min(i, first.get(p, i))
+    want = {(first[p], i, d) for i, p, d in zip(ids, peak, density)}
+    got = {(r.label, r.id, r.density) for r in K.density_clusters(K.memory_vectors(df)).collect()}
+    assert len({label for label, *_ in want}) < 3500 and got == want
+
+
 def test_density_peaks_of_a_leaf():
     u = np.array([[1, 0], [0.99, 0.14], [0.97, 0.24], [0, 1]])
     u = u / np.linalg.norm(u, axis=1, keepdims=True)
