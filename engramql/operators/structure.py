@@ -185,19 +185,63 @@ def rewired_edges(edges: DataFrame, merged: DataFrame) -> DataFrame:
     return ends.groupBy("src", "dst", "rel").agg(F.min("kind").alias("kind"), F.max("w").alias("w"), F.max("last_access").alias("last_access"))
 
 
-def induce_schemas(loose: DataFrame, known: list[np.ndarray], cfg: Settings = DEFAULT, dim: int = 64, pivots: int = 256) -> DataFrame:
+def linked_groups(rows: DataFrame, threshold: float, dim: int = 64) -> DataFrame:
+    """(v, label): components of the graph of pairs at ``threshold``, block against block; single rows are not there.
+
+    A pair of blocks emits a line per row at most: its smallest linked row
+    within the two blocks, by labels that run along links until they rest.
+    """
+    count = max(1, -(-rows.count() // (4 * BLOCK)))  # larger blocks are sent less often, and read in pieces
+    packed = rows.select("id", F.col("embedding").cast("array<float>").alias("embedding"), F.pmod(F.xxhash64("id"), F.lit(count)).cast("int").alias("block"))
+    blocks = cut(packed.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("id", "embedding"))).alias("rows")), "blocks")
+    left = blocks.select("block", F.col("rows").alias("left"), F.explode(F.sequence(F.col("block"), F.lit(count - 1))).alias("j"))
+    both = left.join(blocks.select(F.col("block").alias("j"), F.col("rows").alias("right")), "j").select("left", "right")
+
+    def links(ka: np.ndarray, kb: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        names, at = np.unique(np.concatenate([ka, kb]), return_inverse=True)  # the same row on both sides is one vertex
+        r, c = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+        near, p, q = near[np.ix_(r, c)], at[r], at[len(ka) + c]
+        label, most = np.arange(len(names), dtype=np.int32), np.int32(len(names))
+        while len(r):
+            before = label.copy()
+            np.minimum.at(label, p, np.where(near, label[q][None, :], most).min(1))
+            np.minimum.at(label, q, np.where(near, label[p][:, None], most).min(0))
+            label = label[label]
+            if (label == before).all():
+                break
+        moved = np.flatnonzero(label != np.arange(len(names)))
+        return names[label[moved]], names[moved]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for n in range(b.num_rows):
+                sides = []
+                for side in ("left", "right"):
+                    x = b.column(side)[n].values
+                    sides.append((np.array(x.field("id").to_pylist(), dtype=object), unit(raw_matrix(x.field("embedding"), dim))))
+                (ka, ma), (kb, mb) = sides
+                same = ka[0] == kb[0]
+                for s in range(0, len(ka), BLOCK):
+                    for t in range(s if same else 0, len(kb), BLOCK):
+                        a, c = links(ka[s : s + BLOCK], kb[t : t + BLOCK], ma[s : s + BLOCK] @ mb[t : t + BLOCK].T >= threshold)
+                        yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(c, pa.string())], names=["a", "b"])
+
+    return components(both.mapInArrow(run, "a string, b string"))
+
+
+def induce_schemas(loose: DataFrame, known: list[np.ndarray], cfg: Settings = DEFAULT, dim: int = 64) -> DataFrame:
     """(bucket, id): new schemas among nodes by greedy buckets in the order of ids.
 
-    Nodes near a known centroid join it (bucket 'known-<n>').  The others are
-    spread by their nearest pivot (a bounded hash sample), read in order of id
-    within it, and join the first bucket whose running centroid is near enough.
-    A task keeps centroids only, so a block may have any number of rows; buckets
-    need enough members and cohesion, which is decided per bucket afterwards.
+    Nodes near a known centroid join it (bucket 'known-<n>').  The others join,
+    in order of id, the first bucket whose running centroid is at the threshold
+    t, as one pass over all of them would.  A bucket of n members has a sum of
+    length n t at least, so who joins it is at t * t or more to one of its
+    members: rows in different components of the graph at t * t never share a
+    bucket, and components are read side by side.  A task keeps centroids only;
+    buckets need enough members and cohesion, which is decided per bucket
+    afterwards.
     """
     rows = loose.where(usable(F.col("embedding"), dim)).select("id", "embedding")
-    wanted = min(pivots, max(1, rows.count() // 64))
-    sample = rows.select("embedding", F.xxhash64("id", F.lit("bucket")).alias("h")).orderBy("h").limit(wanted).select("embedding").toArrow()
-    centres = unit(raw_matrix(sample.column("embedding"), dim)) if sample.num_rows else np.zeros((1, dim), dtype=np.float32)
     held = np.stack(known) if known else np.zeros((0, dim))
     held = (held / np.linalg.norm(held, axis=1, keepdims=True)).astype(np.float32) if len(held) else held.astype(np.float32)
     join, bucket_at = cfg.schema_join, cfg.schema_cohesion
@@ -205,43 +249,40 @@ def induce_schemas(loose: DataFrame, known: list[np.ndarray], cfg: Settings = DE
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             u = unit(raw_matrix(b.column("embedding"), dim))
-            block = (u @ centres.T).argmax(1).astype(np.int32) if len(u) else np.zeros(0, dtype=np.int32)
+            at = np.full(len(u), -1, dtype=np.int32)
             if len(held) and len(u):
                 cos = u @ held.T
-                block = np.where(cos.max(1) >= join, -1 - cos.argmax(1), block).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(block), b.column("id"), b.column("embedding")], names=["block", "id", "embedding"])
+                at = np.where(cos.max(1) >= join, cos.argmax(1), -1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(at), b.column("id"), b.column("embedding")], names=["known", "id", "embedding"])
 
     def greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, sums, sizes = None, [], []
+        at, n, sums, length = None, 0, np.zeros((1024, dim), dtype=np.float32), np.ones(1024, dtype=np.float32)
         for b in batches:
             u = unit(raw_matrix(b.column("embedding"), dim))
             names = []
             for block, v in zip(b.column("block").to_pylist(), u):
                 if block != at:
-                    at, sums, sizes = block, [], []
-                if block < 0:
-                    names.append(f"known-{-1 - block}")
-                    continue
-                choice = None
-                if sums:
-                    c = np.stack(sums)
-                    cos = (c @ v) / np.linalg.norm(c, axis=1)
-                    near = np.flatnonzero(cos >= bucket_at)
-                    choice = int(near[0]) if len(near) else None
-                if choice is None:
-                    sums.append(v.astype(np.float32).copy())
-                    sizes.append(1)
-                    choice = len(sums) - 1
-                else:
-                    sums[choice] += v
-                    sizes[choice] += 1
-                names.append(f"{block}-{choice}")
+                    at, n = block, 0
+                near = sums[:n] @ v >= bucket_at * length[:n]
+                choice = int(near.argmax()) if near.any() else n
+                if choice == n:
+                    if n == len(sums):
+                        sums, length = np.concatenate([sums, np.zeros_like(sums)]), np.concatenate([length, np.ones_like(length)])
+                    sums[n] = 0
+                    n += 1
+                sums[choice] += v
+                length[choice] = np.linalg.norm(sums[choice])
+                names.append(f"{block}-{choice}")  # block is the smallest id of the component
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), b.column("id"), b.column("embedding")], names=["schema_id", "id", "embedding"])
 
-    placed = rows.mapInArrow(place, "block int, id string, embedding array<float>").repartition("block").sortWithinPartitions("block", "id")
-    found = cut(placed.mapInArrow(greedy, "schema_id string, id string, embedding array<float>"), "buckets")
+    placed = cut(rows.mapInArrow(place, "known int, id string, embedding array<float>"), "placed")
+    free = placed.where("known < 0").select("id", "embedding")
+    groups = linked_groups(free, bucket_at * bucket_at - 1e-4, dim)
+    blocks = free.join(groups, free.id == groups.v).select(F.col("label").alias("block"), "id", "embedding").repartition("block").sortWithinPartitions("block", "id")
+    found = cut(blocks.mapInArrow(greedy, "schema_id string, id string, embedding array<float>"), "buckets")
     good = cohesion(found, dim).where((F.col("n") >= cfg.schema_support) & (F.col("cohesion") >= cfg.schema_cohesion)).select("schema_id")
-    kept = found.join(good, "schema_id", "left_semi").unionByName(found.where("startswith(schema_id, 'known-')"))
+    kept = found.join(good, "schema_id", "left_semi").select("schema_id", "id")
+    kept = kept.unionByName(placed.where("known >= 0").select(F.concat(F.lit("known-"), "known").alias("schema_id"), "id"))
     return kept.select(F.col("schema_id").alias("bucket"), "id").distinct()
 
 

@@ -158,6 +158,29 @@ def test_induction_needs_support(spark):
     assert {r.id for r in known.where("startswith(bucket, 'known')").collect()} == {"z1", "z2"}
 
 
+def test_induction_is_that_of_one_pass(spark):
+    """Members of one bucket meet whatever else is there."""
+    rng = np.random.default_rng(9)
+    centre, noise = rng.normal(size=(150, 64)), rng.normal(size=(900, 64))
+    m = np.concatenate([np.repeat(centre, 6, axis=0) + 0.55 * noise, rng.normal(size=(300, 64))]).astype(np.float32)
+    ids = [f"n{i:04d}" for i in rng.permutation(len(m))]
+    sums, members = [], []
+    for i in np.argsort(ids):
+        v = m[i].astype(np.float64) / np.linalg.norm(m[i].astype(np.float64))
+        near = [k for k, s in enumerate(sums) if s @ v / np.linalg.norm(s) >= 0.7]
+        if near:
+            sums[near[0]] += v
+            members[near[0]].append(ids[i])
+        else:
+            sums.append(v.copy())
+            members.append([ids[i]])
+    want = {tuple(x) for s, x in zip(sums, members) if len(x) >= 3 and (s @ s - len(x)) / (len(x) * (len(x) - 1)) >= 0.7}
+    got = {}
+    for r in T.induce_schemas(vectors(spark, [(i, v.tolist()) for i, v in zip(ids, m)]), []).collect():
+        got.setdefault(r.bucket, []).append(r.id)
+    assert len(want) > 100 and {tuple(sorted(x)) for x in got.values()} == want
+
+
 def test_claims_parse(spark):
     rows = [("a", '[{"value":"x y","type":"entity"},{"value":" "}]'), ("b", 'Sure: [{"value":"one"},{"value":"tw'), ("c", '{"items":[{"value":"q","due_at":"2025","action_type":"dance"}]}'), ("d", "nope"), ("e", None)]
     got = {(r.k, r.pos): r.claim for r in J.parse_claims(spark.createDataFrame(rows, "k string, t string"), "k", "t").collect()}
