@@ -44,6 +44,8 @@ _MAIL = (
     re.compile(rf"(?<![\w.+%-])(?=([\w.+%-]*\w(?:@|[ \t]*[\[({{][ \t]*(?:at|@)[ \t]*[\])}}][ \t]*){_DOTTED}))", re.IGNORECASE),
     re.compile(rf"(?<![\w.+%-])(?=([\w.+%-]*\w[ \t]+at[ \t]+{_DOTTED}))", re.IGNORECASE),
 )
+#: What a text must have for each of them to be tried.
+_AT_BRACKET, _AT_WORD = re.compile(r"at[ \t]*[\])}]"), re.compile(r"[ \t]at[ \t]")
 _DIGITS = re.compile(r"(?<![\w.+@/-])(?:\+|\()?\d(?:(?:[ .\-/\u00a0]|\)[ -]?|[ ]?\()?\d){5,20}(?!\w)")
 _DATE = re.compile(r"\d{4}[-./]\d\d[-./]\d\d|\d{6,7}|\d{13,}")
 _ID = re.compile(r"(?<![\w.+@/-])(?:\d{3}[- ]\d\d[- ]\d{4}|[A-Za-z]{1,2}\d{6,9}|\d{8}[- ]?[A-Za-z]|[A-Za-z][- ]?\d{7}[- ]?[A-Za-z]|\d{6}[-+]\d{4}|\d\d ?\d{3} ?\d{3} ?\d{3}|\d{9,12})(?![\w])")
@@ -142,7 +144,8 @@ def _shape(s: str) -> str:
 
 def _mail_segments(text: str) -> Iterator[Segment]:
     low_text = text.lower()
-    found = [m for p, hint in zip(_MAIL, ("@" in low_text or "at]" in low_text or "at)" in low_text or "at }" in low_text or "at )" in low_text or "at ]" in low_text, " at " in low_text)) if hint for m in p.finditer(text)]
+    hints = "@" in low_text or _AT_BRACKET.search(low_text), _AT_WORD.search(low_text)
+    found = [m for p, hint in zip(_MAIL, hints) if hint for m in p.finditer(text)]
     for m in found:
         s, e = m.span(1)
         body = m.group(1)

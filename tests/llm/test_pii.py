@@ -43,6 +43,11 @@ def test_mentions(text, want):
     assert found(text) == want
 
 
+@pytest.mark.parametrize("sign", ["{at}", "[ at\t]", "(at  )", "\tat\t", "  at  "])
+def test_every_spelling_of_at_is_a_candidate(sign):
+    assert f"jane{sign}host.org" in ["jane{at}host.org".replace("{at}", sign)[x.start : x.end] for x in P._mail_segments(f"jane{sign}host.org")]
+
+
 def test_redaction_keeps_the_rest():
     text = "From: Brana Korvley <b@example.org>,\n\tcall +1 633 555 0157 now. 🙂"
     assert FINDER.redact(text) == "From: [NAME] <[EMAIL]>,\n\tcall [PHONE] now. 🙂"
