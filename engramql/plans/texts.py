@@ -125,7 +125,7 @@ def chunk_texts(spark, d):
 
 @reg.query(
     "speaker_turns",
-    r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE source IS NOT NULL AND text IS NOT NULL AND NOT contains(text, chr(13))),
+    r"""WITH l AS (SELECT doc_id, unnest(string_split_regex(text, '\r?\n')) AS raw, generate_subscripts(string_split_regex(text, '\r?\n'), 1) AS n FROM documents WHERE text IS NOT NULL),
     m AS (SELECT *, regexp_extract(raw, '^([A-Z][\w .''-]{0,40}):\s*(.*)$', 1) AS sp, regexp_extract(raw, '^([A-Z][\w .''-]{0,40}):\s*(.*)$', 2) AS rest FROM l),
     t AS (SELECT doc_id, n, sp, trim(CASE WHEN sp <> '' THEN rest ELSE raw END) AS body, sum((sp <> '')::INT) OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS turn FROM m),
     g AS (SELECT doc_id, turn::BIGINT AS turn, max(sp) AS sp, string_agg(body, chr(10) ORDER BY n) FILTER (body <> '') AS text FROM t GROUP BY 1, 2)
@@ -133,7 +133,7 @@ def chunk_texts(spark, d):
 )
 def speaker_turns(spark, d):
     """S4."""
-    t = table(spark, d, "documents").where("source IS NOT NULL AND text IS NOT NULL").where(~F.contains("text", F.lit("\r")))
+    t = table(spark, d, "documents").where("text IS NOT NULL")
     return files.speaker_turns(t.select(F.col("doc_id").alias("path"), F.col("text").alias("content"))).select(F.col("path").alias("doc_id"), "turn", "speaker", F.length("text").alias("chars"))
 
 

@@ -18,7 +18,7 @@ from engramql.functions.parsing import heading_sections
 from engramql.functions.text import stripped
 
 # Line forms of transcripts.
-SPEAKER_LINE = r"^([A-Z][\w .'-]{0,40}):\s*(.*)$"
+SPEAKER_LINE = r"(?d)^([A-Z][\w .'-]{0,40}):\s*(.*)$"
 VTT_TIMING = r"^\d{2}:\d{2}"
 VTT_VOICE = r"^<v\s+([^>]+)>(.*?)(?:</v>)?$"
 
