@@ -132,18 +132,29 @@ def doc_tree(edges: DataFrame, docs: DataFrame, depth: int = 8) -> DataFrame:
     return below.unionByName(roots.select(F.col("ancestor").alias("id"), F.col("ancestor").alias("root"), F.lit(0).alias("depth")))
 
 
+def pieces(v: Column, n: int) -> Column:
+    """The distinct pieces of ``n`` characters of a text."""
+    starts = F.when(F.length(v) >= n, F.sequence(F.lit(1), F.length(v) - (n - 1))).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(v, i, F.lit(n))))
+
+
 def resolve_names(names: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(name, id, tier): exact entity, else exact node, else the shortest value that contains the name.
+    """(name, id, tier): exact entity, else exact node, else the shortest entity whose value contains the name.
 
-    Containment joins on the name's first three characters against the three-
-    character pieces of the values, an equi-join that loses nothing; names
-    below three characters have no third tier.
+    The third tier takes entities of at most three times the name's length, so
+    that a name does not bind to a sentence.  Names of three characters and
+    more meet the three-character pieces of those values; shorter ones, whose
+    values have at most six characters, meet all their pieces of that length.
+    Only pieces that some name begins with are joined, so nothing is lost.
     """
     low = nodes.select("id", "type", F.lower("value").alias("v")).where("v IS NOT NULL")
     q = names.select("name", F.lower("name").alias("q")).where("q <> ''").distinct()
     exact = q.join(low, q.q == low.v).select("name", "id", F.when(F.col("type") == "entity", 1).otherwise(2).alias("tier"), F.length("v").alias("len"))
-    grams = low.where(F.length("v") >= 3).select("id", "v", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("v") - 2), lambda i: F.substring(F.col("v"), i, F.lit(3))))).alias("gram"))
-    part = q.where(F.length("q") >= 3).withColumn("gram", F.substring("q", 1, 3)).join(grams, "gram")
+    entities = low.where("type = 'entity' AND v <> ''")
+    grams = entities.select("id", "v", F.explode(pieces(F.col("v"), 3)).alias("gram"))
+    for n in (1, 2):
+        grams = grams.unionByName(entities.where(F.length("v") <= 3 * n).select("id", "v", F.explode(pieces(F.col("v"), n)).alias("gram")))
+    part = q.withColumn("gram", F.substring("q", 1, 3)).join(grams, "gram")
     part = part.where(F.contains("v", "q") & (F.length("v") <= 3 * F.length("q"))).select("name", "id", F.lit(3).alias("tier"), F.length("v").alias("len"))
     best = exact.unionByName(part).groupBy("name").agg(F.min(F.struct("tier", "len", "id")).alias("b"))
     return best.select("name", F.col("b.id").alias("id"), F.col("b.tier").alias("tier"))

@@ -147,19 +147,23 @@ def spread(base: DataFrame, edges: DataFrame, live: DataFrame, cfg: Settings = D
     return base.select("id", "base").join(boosts, "id", "full").select("id", (F.coalesce("base", F.lit(0.0)) + F.coalesce("boost", F.lit(0.0))).alias("score"))
 
 
-def within_budget(scored: DataFrame, budget_chars: int, kept: str = "hard", length: str = "chars", longest: int = 4000) -> DataFrame:
+def within_budget(scored: DataFrame, budget_chars: int, kept: str = "hard", length: str = "chars") -> DataFrame:
     """Kept rows always; others by score until the first that no longer fits.
 
-    Lengths add up along the order, so the rows that fit are a prefix, and a
-    prefix within the budget has at most ``budget_chars`` rows of positive
-    length: a top-k of that size comes first, and only it is summed in one task.
+    Lengths add up along the order, so the rows that fit are a prefix.  Of rows
+    of positive length it has at most ``budget_chars``, so a top-k of one more
+    holds the first that does not fit; only it is summed in one task.  Every
+    row before that one is taken, rows of no length included.
     """
     keep = scored.where(F.col(kept))
     used = keep.agg(F.coalesce(F.sum(length), F.lit(0)).alias("used"))
-    first = scored.where(~F.col(kept)).orderBy(F.round("score", 9).desc(), "id").limit(min(longest, budget_chars + 1))
-    w = Window.orderBy(F.round("score", 9).desc(), "id").rowsBetween(Window.unboundedPreceding, 0)
-    rest = first.withColumn("total", F.sum(length).over(w)).join(F.broadcast(used)).where(F.col("total") + F.col("used") <= budget_chars)  # used is one row
-    return keep.unionByName(rest.drop("total", "used"))
+    others = scored.where(~F.col(kept)).withColumn("place", F.struct((-F.round("score", 9)).alias("score"), "id"))
+    first = others.where(F.col(length) > 0).select("place", length).orderBy("place").limit(budget_chars + 1)
+    total = F.sum(length).over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+    over = first.withColumn("total", total).join(F.broadcast(used)).where(F.col("total") + F.col("used") > budget_chars)  # used is one row
+    end = F.broadcast(over.agg(F.min("place").alias("end")).join(used))  # one row
+    fits = F.coalesce(F.col("place") < F.col("end"), F.col("used") <= budget_chars)
+    return keep.unionByName(others.join(end).where(fits).select(*scored.columns))
 
 
 def injected_text(chosen: DataFrame, limit_chars: int) -> DataFrame:
@@ -173,14 +177,20 @@ def injected_text(chosen: DataFrame, limit_chars: int) -> DataFrame:
 
 
 def surface_rank(due: DataFrame, nodes: DataFrame, now_ms: int, cap: int = 5, grace_ms: int = 3 * 3_600_000) -> DataFrame:
-    """Dated live nodes by tier and score; the later tier is capped by what was shown in the last day."""
+    """Dated live nodes by tier and score; the later tier is capped by what was shown in the last day.
+
+    An occurrence counts against the cap where it was shown (``surfaced_ms``)
+    within the last day, its outcome is open ('surfaced' or 'seen') and it was
+    due a day or more after it was shown; others bypassed the cap then.
+    """
     seen = F.col("outcome")
     hidden = seen.isin("completed", "dismissed", "surfaced", "seen") | ((seen == "snoozed") & (F.col("snooze_until_ms") > now_ms))
     open_ = due.where((F.col("due_ms") >= now_ms - grace_ms) | F.col("recurrence_rule").isNotNull()).where(~F.coalesce(hidden, F.lit(False)))
     scored = open_.join(nodes.select(F.col("id").alias("node_id"), "s"), "node_id").select(
         "node_id", "action_type", S.surface_tier(F.col("due_ms"), now_ms).alias("tier"), S.surface_score(F.col("due_ms"), F.col("s"), now_ms).alias("score")
     )
-    shown = due.where(seen.isin("surfaced", "seen") & (F.col("due_ms") >= now_ms - 86_400_000) & (F.col("due_ms") < now_ms)).agg(F.count(F.lit(1)).alias("shown"))
+    counts = seen.isin("surfaced", "seen") & (F.col("surfaced_ms") >= now_ms - 86_400_000) & (F.col("due_ms") - F.col("surfaced_ms") >= 86_400_000)
+    shown = due.where(counts).agg(F.count(F.lit(1)).alias("shown"))
     w = Window.partitionBy("tier").orderBy(F.round("score", 9).desc(), "node_id")
     # tiers are two, so the capped one is cut to the cap before it is ranked
     later = scored.where("tier = 1").orderBy(F.round("score", 9).desc(), "node_id").limit(cap)

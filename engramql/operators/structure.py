@@ -356,6 +356,14 @@ def subject_pairs(members: DataFrame, most: int = 7, name_weight: float = 0.5) -
     return ends.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= most).select("a", "b", "score").distinct()
 
 
+def linked_facts(edges: DataFrame, live: DataFrame, slug: str) -> DataFrame:
+    """(id): live facts one edge of any kind and direction away from live entities with the slug in their name."""
+    named = live.where((F.col("type") == "entity") & F.contains(F.lower("value"), F.lit(slug.lower()))).select("id")
+    both = edges.select(F.col("src").alias("id"), F.col("dst").alias("other")).unionByName(edges.select(F.col("dst").alias("id"), F.col("src").alias("other")))
+    near = both.join(named, "id", "left_semi").select(F.col("other").alias("id")).distinct()
+    return near.join(live.where("type = 'fact'").select("id"), "id", "left_semi")
+
+
 def gather(spine: DataFrame, semantic: DataFrame, linked: DataFrame) -> DataFrame:
     """(id, via): facts gathered in three ways, each with the ways that found it in a fixed order."""
     parts = [df.select("id", F.lit(i).alias("o"), F.lit(n).alias("name")) for i, (df, n) in enumerate(((spine, "scope"), (semantic, "semantic"), (linked, "linked")))]

@@ -241,11 +241,10 @@ def eviction_candidates(spark, d):
     return n.where(F.coalesce("tombstoned", F.lit(False)) & (eff < DEFAULT.evict_strength) & (M.NOW - F.col("last_access") > DEFAULT.evict_age_ms)).select("id", F.round(eff, 6).alias("eff"))
 
 
-@reg.query("dirty_nodes", "SELECT id FROM live WHERE (embedded_hash IS NULL OR embedded_hash <> value_hash) AND trim(value) <> ''", "live")
+@reg.query("dirty_nodes", "SELECT id FROM live WHERE embedded_hash IS NULL AND trim(value) <> ''", "live")
 def dirty_nodes(spark, d):
     """P4."""
-    n = M.live(spark, d, "value", "value_hash", "embedded_hash")
-    return n.where("(embedded_hash IS NULL OR embedded_hash <> value_hash) AND trim(value) <> ''").select("id")
+    return M.live(spark, d, "value", "embedded_hash").where("embedded_hash IS NULL AND trim(value) <> ''").select("id")
 
 
 @reg.query("clusterable_mix", "SELECT type, count(*) AS n FROM live WHERE coalesce(origin, '') <> 'inferred' AND type IN ('fact', 'entity') AND embedding IS NOT NULL GROUP BY 1", "live")

@@ -108,14 +108,19 @@ def series_first_instance(spark, d):
 
 @reg.query(
     "calendar_cancellations",
-    "WITH src AS (SELECT left(id, 3) AS b, id AS source_event_id, status FROM raw_calendar_event WHERE id IS NOT NULL) SELECT DISTINCT l.id FROM live l JOIN src ON src.b = left(l.id, 3) WHERE src.source_event_id IN (SELECT id FROM raw_calendar_event WHERE status = 'cancelled')",
+    """WITH z AS (SELECT greatest(1, least((SELECT count(*) FROM raw_calendar_event), (SELECT count(*) FROM node))) AS nb),
+    src AS (SELECT DISTINCT ('0x' || left(md5(id), 8))::BIGINT % nb AS b, id AS source_event_id FROM raw_calendar_event, z WHERE id IS NOT NULL)
+    SELECT DISTINCT l.id FROM (SELECT id, ('0x' || left(md5(id), 8))::BIGINT % nb AS b FROM live, z) l JOIN src USING (b) WHERE src.source_event_id IN (SELECT id FROM raw_calendar_event WHERE status = 'cancelled')""",
     "live",
 )
 def calendar_cancellations(spark, d):
     """Nodes stand for the calendar events of their bucket."""
-    e = table(spark, d, "raw_calendar_event").select("id", "status").where("id IS NOT NULL")
+    raw = table(spark, d, "raw_calendar_event")
+    b = M.bucket_count(raw.count(), table(spark, d, "node").count())
+    e = raw.select("id", "status").where("id IS NOT NULL")
     live = M.live(spark, d)
-    source = live.withColumn("b", F.substring("id", 1, 3)).join(e.select(F.substring("id", 1, 3).alias("b"), F.col("id").alias("source_event_id")), "b").select(F.col("id").alias("node_id"), "source_event_id")
+    events = e.select(F.col("id").alias("source_event_id")).distinct().withColumn("b", M.bucket_of(F.col("source_event_id"), b))
+    source = live.withColumn("b", M.bucket_of(F.col("id"), b)).join(events, "b").select(F.col("id").alias("node_id"), "source_event_id")
     return P.cancelled_nodes(live, source, e.where("status = 'cancelled'").select(F.col("id").alias("source_event_id"))).distinct()
 
 
@@ -209,21 +214,22 @@ def doc_tree(spark, d):
     return G.doc_tree(M.edges(spark, d), M.live(spark, d, "type").where("type = 'doc'"))
 
 
-_NAMES = "names AS (SELECT DISTINCT left(value, 8) AS name FROM live WHERE type = 'entity' AND value IS NOT NULL)"
+_NAMES = "names AS (SELECT DISTINCT unnest([value, split_part(value, ' ', 1)]) AS name FROM live WHERE type = 'entity' AND value IS NOT NULL)"
 
 
 @reg.query(
     "name_resolve",
     f"""WITH {_NAMES}, q AS (SELECT name, lower(name) AS q FROM names WHERE lower(name) <> ''), v AS (SELECT id, type, lower(value) AS v FROM live WHERE value IS NOT NULL),
     t AS (SELECT name, id, CASE WHEN type = 'entity' THEN 1 ELSE 2 END AS tier, length(v) AS len FROM q JOIN v ON q = v
-      UNION ALL SELECT name, id, 3, length(v) FROM q JOIN v ON contains(v, q) AND length(q) >= 3 AND length(v) <= 3 * length(q))
+      UNION ALL SELECT name, id, 3, length(v) FROM q JOIN v ON v.type = 'entity' AND contains(v, q) AND length(v) <= 3 * length(q))
     SELECT name, id, tier FROM t QUALIFY row_number() OVER (PARTITION BY name ORDER BY tier, len, id) = 1""",
     "live",
 )
 def name_resolve(spark, d):
-    """P12, G25."""
+    """Names of entities, whole and by their first word."""
     n = M.live(spark, d, "type", "value")
-    return G.resolve_names(n.where("type = 'entity' AND value IS NOT NULL").select(F.substring("value", 1, 8).alias("name")), n)
+    names = n.where("type = 'entity' AND value IS NOT NULL").select(F.explode(F.array("value", F.split_part("value", F.lit(" "), F.lit(1)))).alias("name"))
+    return G.resolve_names(names, n)
 
 
 @reg.query(

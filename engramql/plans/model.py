@@ -6,11 +6,14 @@ edges      last row of each (src, dst, rel), ids stripped and lower-cased;
            'abstracts' rows lead from member to schema and are turned around,
            so that src is the schema
 episodes   first row of each id
-mem_events append-only event log: the rows of ``events``; a row's node and
-           episode are the first ids of a bucket of three hex digits;
-           three events in a row share an episode
-due        dated nodes from ``orders``: the node of a bucket is due at the
-           latest order date there
+mem_events append-only event log: the rows of ``events``.  Ids of nodes and
+           episodes lie in hash buckets, as many as there are rows of the
+           smaller side; an event belongs to all ids of its bucket, so that at
+           any size all episodes occur and all nodes but those of the tenth
+           of the buckets whose events name no node.  Three events in a row
+           share an episode bucket
+due        dated nodes from ``orders``: the nodes of a bucket are due at the
+           date of the order with its number
 ledger     one row per call from ``lineitem``
 """
 
@@ -55,36 +58,48 @@ def episodes(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return first_rows(table(spark, d, "episode").select(*dict.fromkeys([*keep, "landed_at"]))).select(*keep)
 
 
-def _buckets(ids: DataFrame) -> DataFrame:
-    return ids.groupBy(F.substring("id", 1, 3).alias("bucket")).agg(F.min("id").alias("id"))
+def bucket_of(key, buckets: int) -> F.Column:
+    """The bucket of a text key: the first 32 bits of its digest, modulo."""
+    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint") % buckets
 
 
-def _bucket(n) -> F.Column:
-    return F.lower(F.lpad(F.hex(n % 4096), 3, "0"))
+def bucket_count(*sizes: int) -> int:
+    """As many buckets as the smaller side has rows: about one key each."""
+    return max(1, min(sizes))
+
+
+def _buckets(ids: DataFrame, buckets: int, name: str) -> DataFrame:
+    return ids.where("id IS NOT NULL").distinct().select(bucket_of(F.col("id"), buckets).alias(name), "id")
 
 
 def mem_events(spark: SparkSession, d: str) -> DataFrame:
+    total = table(spark, d, "events").count()  # row counts come from the file footers
+    nb = bucket_count(total, table(spark, d, "node").count())
+    eb = bucket_count(total // 3, table(spark, d, "episode").count())
     e = table(spark, d, "events").select(
         F.col("event_id").alias("id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"),
         F.element_at(F.create_map(*[F.lit(x) for kv in EVENT_TYPES.items() for x in kv]), F.col("event_type")).alias("event_type"),
         F.col("value").alias("magnitude"), F.col("props").alias("payload"),
-        _bucket(F.col("event_id")).alias("nb"), _bucket(F.floor(F.col("event_id") / 3) % 512 * 8).alias("eb"),
+        F.when(F.col("event_id") % nb % 10 < 9, F.col("event_id") % nb).alias("nb"), (F.floor(F.col("event_id") / 3) % eb).alias("eb"),
     )
-    n = _buckets(table(spark, d, "node").select("id")).select(F.col("bucket").alias("nb"), F.col("id").alias("node_id"))
-    p = _buckets(table(spark, d, "episode").select("id")).select(F.col("bucket").alias("eb"), F.col("id").alias("episode_id"))
+    n = _buckets(table(spark, d, "node").select("id"), nb, "nb").withColumnRenamed("id", "node_id")
+    p = _buckets(table(spark, d, "episode").select("id"), eb, "eb").withColumnRenamed("id", "episode_id")
     return e.join(n, "nb", "left").join(p, "eb", "left").select("id", "ts", "event_type", "node_id", "episode_id", "magnitude", "payload")
 
 
 def due(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").select(_bucket(F.col("o_orderkey")).alias("bucket"), "o_orderkey", "o_orderdate", "o_orderpriority")
-    best = o.groupBy("bucket").agg(F.max(F.struct("o_orderdate", "o_orderkey", "o_orderpriority")).alias("b"))
+    b = bucket_count(table(spark, d, "orders").count(), table(spark, d, "node").count())
+    o = table(spark, d, "orders").select((F.col("o_orderkey") % b).alias("bucket"), "o_orderkey", "o_orderdate", "o_orderpriority")
+    best = o.groupBy("bucket").agg(F.min(F.struct("o_orderkey", "o_orderdate", "o_orderpriority")).alias("b"))
     action = F.when(F.col("b.o_orderpriority").startswith("1"), "deadline").when(F.col("b.o_orderpriority").startswith("2"), "meeting").otherwise("other")
-    n = _buckets(table(spark, d, "node").select("id"))
+    n = _buckets(table(spark, d, "node").select("id"), b, "bucket")
     return best.join(n, "bucket").select(
         F.col("id").alias("node_id"), F.unix_millis(F.col("b.o_orderdate").cast("timestamp")).alias("due_ms"), action.alias("action_type"),
         F.when(F.col("b.o_orderkey") % 5 == 0, "RRULE:FREQ=WEEKLY").alias("recurrence_rule"),
         F.when(F.col("b.o_orderkey") % 7 == 0, "dismissed").when(F.col("b.o_orderkey") % 7 == 1, "surfaced").when(F.col("b.o_orderkey") % 7 == 2, "snoozed").alias("outcome"),
         F.when(F.col("b.o_orderkey") % 7 == 2, F.lit(DUE_NOW) + (F.col("b.o_orderkey") % 3 - 1) * 3_600_000).alias("snooze_until_ms"),
+        # when it was last shown, where it was: within 200 days before now
+        F.when(F.col("b.o_orderkey") % 7 < 3, F.lit(DUE_NOW) - (F.col("b.o_orderkey") % 4800) * 3_600_000).alias("surfaced_ms"),
     )
 
 
@@ -107,16 +122,18 @@ VIEWS = {
       CASE e.event_type WHEN 'signup' THEN 'confirm' WHEN 'click' THEN 'extend' WHEN 'view' THEN 'unrelated' WHEN 'error' THEN 'contradict_hold' WHEN 'purchase' THEN 'contradict_reconcile' END AS event_type,
       n.id AS node_id, p.id AS episode_id, e.value AS magnitude, e.props AS payload
       FROM events e
-      LEFT JOIN (SELECT left(id, 3) AS b, min(id) AS id FROM node GROUP BY 1) n ON n.b = lpad(printf('%x', (e.event_id % 4096)::INT), 3, '0')
-      LEFT JOIN (SELECT left(id, 3) AS b, min(id) AS id FROM episode GROUP BY 1) p ON p.b = lpad(printf('%x', ((e.event_id // 3) % 512 * 8)::INT), 3, '0')""",
+      CROSS JOIN (SELECT greatest(1, least((SELECT count(*) FROM events), (SELECT count(*) FROM node))) AS nb, greatest(1, least((SELECT count(*) FROM events) // 3, (SELECT count(*) FROM episode))) AS eb) z
+      LEFT JOIN (SELECT DISTINCT id, ('0x' || left(md5(id), 8))::BIGINT AS h FROM node WHERE id IS NOT NULL) n ON n.h % z.nb = e.event_id % z.nb AND e.event_id % z.nb % 10 < 9
+      LEFT JOIN (SELECT DISTINCT id, ('0x' || left(md5(id), 8))::BIGINT AS h FROM episode WHERE id IS NOT NULL) p ON p.h % z.eb = (e.event_id // 3) % z.eb""",
     "due": f"""SELECT n.id AS node_id, epoch_us(o.o_orderdate) // 1000 AS due_ms,
       CASE WHEN o.o_orderpriority LIKE '1%' THEN 'deadline' WHEN o.o_orderpriority LIKE '2%' THEN 'meeting' ELSE 'other' END AS action_type,
       CASE WHEN o.o_orderkey % 5 = 0 THEN 'RRULE:FREQ=WEEKLY' END AS recurrence_rule,
       CASE o.o_orderkey % 7 WHEN 0 THEN 'dismissed' WHEN 1 THEN 'surfaced' WHEN 2 THEN 'snoozed' END AS outcome,
-      CASE WHEN o.o_orderkey % 7 = 2 THEN {DUE_NOW} + (o.o_orderkey % 3 - 1) * 3600000 END AS snooze_until_ms
-      FROM (SELECT *, lpad(printf('%x', (o_orderkey % 4096)::INT), 3, '0') AS b FROM orders
-            QUALIFY row_number() OVER (PARTITION BY b ORDER BY o_orderdate DESC, o_orderkey DESC) = 1) o
-      JOIN (SELECT left(id, 3) AS b, min(id) AS id FROM node GROUP BY 1) n ON n.b = o.b""",
+      CASE WHEN o.o_orderkey % 7 = 2 THEN {DUE_NOW} + (o.o_orderkey % 3 - 1) * 3600000 END AS snooze_until_ms,
+      CASE WHEN o.o_orderkey % 7 < 3 THEN {DUE_NOW} - (o.o_orderkey % 4800) * 3600000 END AS surfaced_ms
+      FROM (SELECT *, o_orderkey % z.nb AS b, z.nb FROM orders, (SELECT greatest(1, least((SELECT count(*) FROM orders), (SELECT count(*) FROM node))) AS nb) z
+            QUALIFY row_number() OVER (PARTITION BY b ORDER BY o_orderkey) = 1) o
+      JOIN (SELECT DISTINCT id, ('0x' || left(md5(id), 8))::BIGINT AS h FROM node WHERE id IS NOT NULL) n ON n.h % o.nb = o.b""",
     "ledger": "SELECT l_returnflag AS feature_tag, epoch_us(l_shipdate) // 1000 AS ts, l_quantity::BIGINT AS input_tokens, l_linenumber::BIGINT AS output_tokens, l_partkey % 50 AS cache_tokens, l_extendedprice AS cost FROM lineitem",
 }
 NEEDS = {"live": ["nodes"]}

@@ -170,7 +170,7 @@ def _chosen(spark, d):
     live, act = _activated(spark, d)
     scored = act.join(live.select("id", "value"), "id").where("value IS NOT NULL")
     scored = scored.withColumn("chars", F.length("value")).withColumn("hard", S.any_match(F.col("value"), (r"\balways\b", r"\bnever\b"), True))
-    return R.within_budget(scored, 20_000, longest=20_001)
+    return R.within_budget(scored, 20_000)
 
 
 @reg.query("token_budget", f"WITH {_BUDGET} SELECT id, round(score, 6) AS score, hard FROM chosen", "live edges")
@@ -196,7 +196,7 @@ def injected_text(spark, d):
       AND NOT coalesce(outcome IN ('completed', 'dismissed', 'surfaced', 'seen') OR (outcome = 'snoozed' AND snooze_until_ms > {M.DUE_NOW}), false)),
     sc AS (SELECT o.node_id, o.action_type, CASE WHEN due_ms - {M.DUE_NOW} < 86400000 THEN 0 ELSE 1 END AS tier,
       0.5e0 * greatest(0e0, least(1e0, 1 - (due_ms - {M.DUE_NOW}) / 604800000e0)) + 0.5e0 * greatest(0e0, least(1e0, l.s)) AS score FROM open_ o JOIN live l ON l.id = o.node_id),
-    shown AS (SELECT count(*) AS n FROM due WHERE outcome IN ('surfaced', 'seen') AND due_ms >= {M.DUE_NOW} - 86400000 AND due_ms < {M.DUE_NOW}),
+    shown AS (SELECT count(*) AS n FROM due WHERE outcome IN ('surfaced', 'seen') AND surfaced_ms >= {M.DUE_NOW} - 86400000 AND due_ms - surfaced_ms >= 86400000),
     p AS (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY round(score, 9) DESC, node_id) AS pos FROM sc)
     SELECT node_id, action_type, tier, round(score, 6) AS score FROM p, shown WHERE tier = 0 OR pos <= greatest(0, 5 - n)""",
     "live due",

@@ -24,6 +24,8 @@ _CENTROIDS = f"""{_MEMBERS}, flat AS (SELECT schema_id, id, unnest(embedding)::D
   mean AS (SELECT schema_id, i, avg(x) AS x, count(*) AS n FROM flat GROUP BY 1, 2), cent AS (SELECT schema_id, max(n) AS n, list(x ORDER BY i) AS v FROM mean GROUP BY 1)"""
 _NOISE = "|".join(f"(?:{p})" for p in S.NOISE)
 _MASS = f"{_MEMBERS}, mass AS (SELECT schema_id, count(*) AS mass, avg(regexp_matches(coalesce(value, ''), '{_NOISE}')::INT::DOUBLE) AS noise FROM members GROUP BY 1)"
+#: The slug of the document whose facts are gathered: entities with it in their name lead to linked facts.
+SLUG = "service"
 _DOCS = "documented AS (SELECT DISTINCT e.src AS schema_id FROM edges e JOIN live d ON d.id = e.dst AND d.type = 'doc' JOIN live s ON s.id = e.src AND s.type = 'schema')"
 
 
@@ -176,7 +178,8 @@ def idf_pairs(spark, d):
 @reg.query(
     "gather_facts",
     f"""WITH {_MEMBERS}, {_BM25}, top_ AS (SELECT schema_id FROM members GROUP BY 1 ORDER BY count(*) DESC, schema_id LIMIT 1), spine AS (SELECT id FROM members WHERE schema_id = (SELECT schema_id FROM top_)),
-    sem AS (SELECT id FROM bm ORDER BY round(score, 9) DESC, id LIMIT 60), lnk AS (SELECT DISTINCT l.id FROM edges e JOIN spine s ON s.id = e.src JOIN live l ON l.id = e.dst AND l.type = 'fact' WHERE e.kind = 'relation'),
+    sem AS (SELECT id FROM bm ORDER BY round(score, 9) DESC, id LIMIT 60), ent AS (SELECT id FROM live WHERE type = 'entity' AND contains(lower(value), '{SLUG}')),
+    lnk AS (SELECT DISTINCT l.id FROM (SELECT src AS id, dst AS other FROM edges UNION ALL SELECT dst, src FROM edges) e JOIN ent USING (id) JOIN live l ON l.id = e.other AND l.type = 'fact'),
     u AS (SELECT id, 0 AS o, 'scope' AS n FROM spine UNION SELECT id, 1, 'semantic' FROM sem UNION SELECT id, 2, 'linked' FROM lnk) SELECT id, string_agg(n, '+' ORDER BY o) AS via FROM u GROUP BY id""",
     "live edges",
 )
@@ -187,8 +190,7 @@ def gather_facts(spark, d):
     top = members.groupBy("schema_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "schema_id").limit(1)
     spine = members.join(F.broadcast(top.select("schema_id")), "schema_id", "left_semi").select("id")  # one row
     semantic = R.top(R.bm25(live, "value", TERMS), "score", 60)
-    linked = e.where("kind = 'relation'").join(spine.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).join(live.where("type = 'fact'").select("id"), "id", "left_semi").distinct()
-    return T.gather(spine, semantic, linked)
+    return T.gather(spine, semantic, T.linked_facts(e, live, SLUG))
 
 
 @reg.query("topics", f"WITH {_MEMBERS} SELECT m.schema_id, s.value AS label, count(*) AS members FROM members m JOIN live s ON s.id = m.schema_id GROUP BY 1, 2 ORDER BY members DESC, label, schema_id LIMIT 20", "live edges")
