@@ -8,23 +8,52 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 _TOKEN = re.compile(r"[^\W_]+")
 
 
 def embed(text: str, dim: int = 64) -> list[float]:
     """Hashed bag of words as a unit vector; texts without words are the zero vector."""
-    v = np.zeros(dim)
-    for t in _TOKEN.findall(text.lower()):
-        h = hashlib.blake2b(t.encode(), digest_size=8).digest()
-        v[int.from_bytes(h[:4], "little") % dim] += 1 if h[4] & 1 else -1
+    v = word_counts(text, dim)
     n = np.linalg.norm(v)
     return (v / n if n else v).tolist()
 
 
+@lru_cache(maxsize=1 << 16)
+def _place(word: str) -> tuple[int, int]:
+    h = hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()
+    return int(h[:4], 16), 1 if h[4] < "8" else -1
+
+
+def word_counts(text: str, dim: int = 64) -> np.ndarray:
+    """Signed counts of the words of the whole text in ``dim`` hash places."""
+    v = np.zeros(dim)
+    for t in _TOKEN.findall(text.lower()):
+        place, sign = _place(t)
+        v[place % dim] += sign
+    return v
+
+
+def with_vectors(df: DataFrame, text: str, name: str = "v", dim: int = 64) -> DataFrame:
+    """``df`` with the word counts of a text column as vectors, null for null texts and those of no direction; Arrow batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts = [None if t is None else word_counts(t, dim) for t in b.column(text).to_pylist()]
+            vectors = pa.array([None if c is None or not c.any() else c for c in counts], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*b.columns, vectors], names=[*b.schema.names, name])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(name, ArrayType(DoubleType()))]))
+
+
 @dataclass
 class Claim:
     value: str

@@ -15,6 +15,7 @@ from engramql.functions import seams
 from engramql.operators import belief, documents, graph, mutations, provenance, retrieval
 from engramql.sources import ingest
 from engramql.sources.store import SnapshotStore
+from engramql.storage import cut
 
 NODE_SCHEMA = (
     "id string, type string, value string, value_hash string, embedding array<float>, embedded_hash string, origin string, s double, c double, last_access bigint, "
@@ -59,9 +60,9 @@ class Memory:
         """Append records; the number of new ones."""
         stored = self.store.read("episode")
         fresh = ingest.new_rows(ingest.prepare(records, now_ms, self.cfg), stored)
-        before = 0 if stored is None else stored.count()
-        self.store.publish("episode", fresh if stored is None else stored.unionByName(fresh))
-        return self.episodes.count() - before
+        fresh = cut(fresh, "fresh")
+        self.store.append("episode", fresh)
+        return fresh.count()
 
     def _claims(self, episodes: DataFrame) -> DataFrame:
         extract, embed = self.extract, self.embed
@@ -85,8 +86,6 @@ class Memory:
         waiting = episodes.where(~F.col("consolidated"))
         gate = (F.col("salience") >= S.skip_threshold(F.col("source"), F.col("role"), self.cfg)) | F.col("hard_keep")
         taken = waiting.where((F.col("origin") != "inferred") & gate)
-        from engramql.storage import cut
-
         claims = cut(self._claims(taken).withColumn("id", F.sha2("id", 256)), "claims")
         nodes = self.nodes
         live = cut(self.live, "live")
@@ -108,7 +107,7 @@ class Memory:
         self.store.publish("node", mutations.set_embeddings(merged, dirty.mapInPandas(vectors, "id string, value_hash string, vector array<float>")))
         per = applied.join(claims.select(F.col("id").alias("claim_id"), "episode_id", "ts"), "claim_id")
         fresh = per.select(F.sha2(F.concat_ws("|", "claim_id", "action"), 256).alias("id"), "ts", F.col("action").alias("event_type"), "node_id", "episode_id", "value", "magnitude")
-        self.store.publish("event", self.events.unionByName(fresh.join(self.events.select("id"), "id", "left_anti")))
+        self.store.append("event", fresh.join(self.events.select("id"), "id", "left_anti"))
         grown = decided.where("node_id IS NOT NULL").select("claim_id", F.col("node_id").alias("src")).join(applied.where("action = 'extend'").select("claim_id", F.col("node_id").alias("dst")), "claim_id")
         links = grown.select("src", "dst", F.lit("extends").alias("rel"), F.lit(0.1).alias("w"), F.lit(now_ms).cast("bigint").alias("last_access"), F.lit("relation").alias("kind"))
         self.store.publish("edge", mutations.upsert_edges(self.edges, links))

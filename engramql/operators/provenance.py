@@ -78,15 +78,16 @@ def echoes(episodes: DataFrame, window_ms: int, least: float) -> DataFrame:
     """(id, echo_of, cos): the best inferred episode within the window before each other one.
 
     A range join by time buckets of the window's width: an inferred episode
-    goes to its own and the next bucket, so each pair meets in one bucket.
-    ``episodes`` has id, ts, origin and a vector column v.
+    goes to its own and the next bucket, so each pair meets in one bucket; a
+    bucket that holds much is split by adaptive execution.  ``episodes`` has
+    id, ts, origin and a vector column v, of which norms are taken once a row.
     """
     bucket = F.floor(F.col("ts") / window_ms)
-    left = episodes.where("origin <> 'inferred' AND ts > 0 AND v IS NOT NULL").select("id", "ts", "v", bucket.alias("bucket"))
+    left = episodes.where("origin <> 'inferred' AND ts > 0 AND v IS NOT NULL").select("id", "ts", "v", norm(F.col("v")).alias("n"), bucket.alias("bucket"))
     right = episodes.where("origin = 'inferred' AND ts > 0 AND v IS NOT NULL").select(
-        F.col("id").alias("echo_of"), F.col("ts").alias("ets"), F.col("v").alias("ev"), F.explode(F.array(bucket, bucket + 1)).alias("bucket")
+        F.col("id").alias("echo_of"), F.col("ts").alias("ets"), F.col("v").alias("ev"), norm(F.col("v")).alias("en"), F.explode(F.array(bucket, bucket + 1)).alias("bucket")
     )
-    cos = dot(F.col("v"), F.col("ev")) / (norm(F.col("v")) * norm(F.col("ev")))
+    cos = dot(F.col("v"), F.col("ev")) / (F.col("n") * F.col("en"))
     near = left.join(right, "bucket").where((F.col("ets") <= F.col("ts")) & (F.col("ets") >= F.col("ts") - window_ms)).withColumn("cos", cos)
     best = near.where(F.round("cos", 9) >= least).groupBy("id").agg(F.max(F.struct(F.round("cos", 9).alias("cos"), "ets", "echo_of")).alias("b"))
     return best.select("id", F.col("b.echo_of").alias("echo_of"), F.round("b.cos", 6).alias("cos"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from engramql.config import DAY_MS
 from engramql.functions import scalars as S
+from engramql.functions.seams import with_vectors
 from engramql.operators import graph as G
 from engramql.operators import provenance as P
 from engramql.plans import model as M
@@ -14,6 +15,8 @@ from engramql.storage import table
 
 reg = Registry()
 CWD = "/home/dev/klealainer-board"
+#: Cosine from which a text is an echo.
+ECHO = 0.85
 _TOUCH = "touch AS (SELECT DISTINCT v.node_id AS id, v.episode_id, p.cwd FROM mem_events v JOIN episodes p ON p.id = v.episode_id WHERE v.node_id IS NOT NULL)"
 _SLUG = "lower(regexp_extract(rtrim(trim(coalesce(cwd, '')), '/'), '^/(?:Users|home)/[^/]+(?:/([^/]+))?', 1))"
 _SCOPE = f"CASE WHEN {_SLUG} IN ('', 'resume') THEN 'global' ELSE {_SLUG} END"
@@ -77,22 +80,22 @@ def corpus_reconstruct(spark, d):
     return P.reconstruct(M.mem_events(spark, d), M.nodes(spark, d, "value", "tombstoned"))
 
 
-_ECHO_V = "list_transform(range(1, 9), lambda i: (ascii(substr(md5(coalesce(left(content, 4), '')), i, 1)) - 40)::DOUBLE)"
+_WORD_COUNTS = """w AS (SELECT id, md5(unnest(regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+'))) AS h FROM episodes WHERE ts > 0 AND content IS NOT NULL),
+    f AS (SELECT id, ('0x' || left(h, 4))::INT % 64 AS i, sum(CASE WHEN h[5] < '8' THEN 1 ELSE -1 END)::DOUBLE AS x FROM w GROUP BY 1, 2 HAVING x <> 0), n AS (SELECT id, sqrt(sum(x * x)) AS n FROM f GROUP BY id)"""
 
 
 @reg.query(
     "echo_interval_join",
-    f"""WITH v AS (SELECT id, ts, origin, {_ECHO_V} AS v FROM episodes WHERE ts > 0 AND content IS NOT NULL),
-    near AS (SELECT a.id, b.id AS echo_of, b.ts AS ets, list_cosine_similarity(a.v, b.v) AS cos FROM v a JOIN v b ON b.ts BETWEEN a.ts - 86400000 AND a.ts WHERE a.origin <> 'inferred' AND b.origin = 'inferred')
-    SELECT id, echo_of, round(cos, 6) AS cos FROM near WHERE round(cos, 9) >= 0.97 QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(cos, 9) DESC, ets DESC, echo_of DESC) = 1""",
+    f"""WITH {_WORD_COUNTS}, p AS (SELECT e.id, e.ts, e.origin, n.n FROM episodes e JOIN n USING (id)),
+    pairs AS (SELECT a.id, b.id AS echo_of, b.ts AS ets, a.n * b.n AS nn FROM p a JOIN p b ON b.ts BETWEEN a.ts - 86400000 AND a.ts WHERE a.origin <> 'inferred' AND b.origin = 'inferred'),
+    near AS (SELECT q.id, q.echo_of, q.ets, sum(x.x * y.x) / any_value(q.nn) AS cos FROM pairs q JOIN f x ON x.id = q.id JOIN f y ON y.id = q.echo_of AND y.i = x.i GROUP BY 1, 2, 3)
+    SELECT id, echo_of, round(cos, 6) AS cos FROM near WHERE round(cos, 9) >= {ECHO} QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(cos, 9) DESC, ets DESC, echo_of DESC) = 1""",
     "episodes",
 )
 def echo_interval_join(spark, d):
-    """JN21, P6, ST4: an eight-number digest of the text's start stands for the embedding."""
-    digest = F.md5(F.coalesce(F.substring("content", 1, 4), F.lit("")).cast("binary"))
-    v = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: (F.ascii(F.substring(digest, i, F.lit(1))) - 40).cast("double"))
-    e = M.episodes(spark, d, "ts", "origin", "content").where("content IS NOT NULL").select("id", "ts", "origin", v.alias("v"))
-    return P.echoes(e, DAY_MS, 0.97)
+    """JN21, P6, ST4: embeddings of the whole contents by the stand-in model."""
+    e = M.episodes(spark, d, "ts", "origin", "content").where("content IS NOT NULL AND ts > 0")
+    return P.echoes(with_vectors(e, "content").drop("content"), DAY_MS, ECHO)
 
 
 @reg.query(

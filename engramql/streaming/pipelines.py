@@ -17,7 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from engramql.config import DEFAULT, Settings
 from engramql.sources import ingest
 from engramql.sources.store import SnapshotStore
-from engramql.storage import shared_dir
+from engramql.storage import cut, shared_dir
 
 
 def file_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 64) -> DataFrame:
@@ -39,16 +39,14 @@ def prepared_episodes(raw: DataFrame, now_ms: int, lateness: str = "1 day", cfg:
 def append_batches(stream: DataFrame, store: SnapshotStore, table: str = "episode"):
     """A writer that appends each micro-batch to a stored table: repeats of stored rows are left out.
 
-    A batch that runs again after a failure adds nothing, since its rows are stored already.
+    Only the batch is written, never the table.  A batch that runs again after a failure adds nothing, since its rows are stored already.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         stored = store.read(table)
-        fresh = ingest.new_rows(batch, stored)
-        if stored is None:
-            store.publish(table, fresh)
-        elif fresh.limit(1).count():
-            store.publish(table, stored.unionByName(fresh))
+        fresh = cut(ingest.new_rows(batch, stored), "batch")
+        if stored is None or not fresh.isEmpty():
+            store.append(table, fresh)
 
     return stream.writeStream.foreachBatch(write)
 
@@ -98,11 +96,24 @@ def contradiction_counts(claims: DataFrame, needed: int = DEFAULT.contradiction_
 
 
 def run_to_table(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Drive a stream over what is there and give its result as a table (for tests and queries)."""
+    """Drive a stream over what is there and give its result as a table in the shared folder.
+
+    Batches are written by their number, a repeated one over itself; in
+    complete mode the last batch is the result, else all of them together.
+    """
     spark = stream.sparkSession
-    name = f"stream_{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{shared_dir(spark)}/{name}").trigger(availableNow=True).start()
+    home = f"{shared_dir(spark)}/stream_{uuid.uuid4().hex}"
+    last: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{home}/rows/batch={number}")
+        last[:] = [number]
+
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     if query.exception():
         raise query.exception()
-    return spark.table(name)
+    if not last:
+        return spark.createDataFrame([], stream.schema)
+    rows = f"{home}/rows/batch={last[0]}" if mode == "complete" else f"{home}/rows/batch=*"
+    return spark.read.schema(stream.schema).parquet(rows)
