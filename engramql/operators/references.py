@@ -3,11 +3,16 @@
 State per (target, key) is a pair of signed counts kept from change deltas:
 ``refs`` (references that hold) and ``live`` (1 while a live target exists,
 else 0), with ``known`` (1 once any row with the key landed) and the landing
-time of the first such row.  Deltas of any kind are unioned and summed per
-key, so the state is one partial aggregation and one shuffle, whatever the
-number of references to a hot key.  Keys with positive ``refs`` and no
-``live`` form the current orphan report; ``apply_deltas`` folds later deltas
-into a stored state without a second look at old rows.
+times of the first and the last such row.  Deltas of any kind are unioned and
+summed per key, so the state is one partial aggregation and one shuffle,
+whatever the number of references to a hot key.  Keys with positive ``refs``
+and no ``live`` form the current orphan report.
+
+Later rows are folded in without a second look at old rows: existence deltas
+are taken against the stored state (+1 for a key that comes to life, -1 for a
+tombstone, 0 for what changes nothing or is older than what is stored), and
+reference deltas only from references that are not held yet (``advance``), so
+a row delivered again adds nothing.
 
 Null, empty and blank ends are references to nothing (state 'missing'); rows
 delivered again add no reference.  Extra columns are not read.
@@ -20,7 +25,8 @@ from pyspark.sql import functions as F
 
 from engramql.functions.text import blank, match_key
 
-STATE = ["target", "key", "refs", "live", "known", "first_at"]
+STATE = ["target", "key", "refs", "live", "known", "first_at", "last_at"]
+HELD = ["target", "key", "field", "from_id", "to_id", "rel"]
 
 
 def edge_references(edge: DataFrame) -> DataFrame:
@@ -58,21 +64,21 @@ def episode_references(episode: DataFrame) -> DataFrame:
 
 
 def node_existence(node: DataFrame) -> DataFrame:
-    """Existence deltas of nodes: +1 with the first row, -1 where the last row is a tombstone."""
+    """What the rows say of each node, as deltas to an empty state: live 1, or 0 where the last row is a tombstone."""
     return node.groupBy(match_key(F.col("id")).alias("key")).agg(
-        F.min("landed_at").alias("first_at"),
+        F.min("landed_at").alias("first_at"), F.max("landed_at").alias("last_at"),
         F.max_by(F.coalesce("tombstoned", F.lit(False)), F.struct("landed_at", F.coalesce("tombstoned", F.lit(False)))).alias("dead"),
     ).where("key IS NOT NULL").select(
         F.lit("node").alias("target"), "key", F.lit(0).cast("bigint").alias("refs"),
-        F.when(F.col("dead"), 0).otherwise(1).cast("bigint").alias("live"), F.lit(1).cast("bigint").alias("known"), "first_at",
+        F.when(F.col("dead"), 0).otherwise(1).cast("bigint").alias("live"), F.lit(1).cast("bigint").alias("known"), "first_at", "last_at",
     )
 
 
 def episode_existence(episode: DataFrame) -> DataFrame:
     """Existence deltas of episodes, which are never deleted."""
-    return episode.groupBy(match_key(F.col("id")).alias("key")).agg(F.min("landed_at").alias("first_at")).where("key IS NOT NULL").select(
+    return episode.groupBy(match_key(F.col("id")).alias("key")).agg(F.min("landed_at").alias("first_at"), F.max("landed_at").alias("last_at")).where("key IS NOT NULL").select(
         F.lit("episode").alias("target"), "key", F.lit(0).cast("bigint").alias("refs"),
-        F.lit(1).cast("bigint").alias("live"), F.lit(1).cast("bigint").alias("known"), "first_at",
+        F.lit(1).cast("bigint").alias("live"), F.lit(1).cast("bigint").alias("known"), "first_at", "last_at",
     )
 
 
@@ -80,7 +86,7 @@ def reference_deltas(refs: DataFrame, sign: int = 1) -> DataFrame:
     """Reference deltas; ``sign=-1`` takes withdrawn references back."""
     return refs.select(
         "target", "key", F.lit(sign).cast("bigint").alias("refs"), F.lit(0).cast("bigint").alias("live"),
-        F.lit(0).cast("bigint").alias("known"), F.lit(None).cast("timestamp").alias("first_at"),
+        F.lit(0).cast("bigint").alias("known"), F.lit(None).cast("timestamp").alias("first_at"), F.lit(None).cast("timestamp").alias("last_at"),
     )
 
 
@@ -90,10 +96,54 @@ def apply_deltas(*deltas: DataFrame) -> DataFrame:
     for d in deltas[1:]:
         total = total.unionByName(d.select(*STATE))
     return total.groupBy("target", "key").agg(
-        F.sum("refs").alias("refs"), F.sum("live").alias("live"), F.max("known").alias("known"), F.min("first_at").alias("first_at")
+        F.sum("refs").alias("refs"), F.sum("live").alias("live"), F.max("known").alias("known"), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at")
     )
 
 
+def existence_deltas(existence: DataFrame, state: DataFrame) -> DataFrame:
+    """Signed deltas of later rows (``node_existence`` or ``episode_existence`` of them) against a stored state.
+
+    Rows older than the last one stored change nothing; of rows of one time a
+    tombstone counts.
+    """
+    old = state.select("target", "key", F.col("live").alias("was"), F.col("last_at").alias("was_at"))
+    at, was_at = F.coalesce("last_at", F.lit("0001-01-01").cast("timestamp")), F.coalesce("was_at", F.lit("0001-01-01").cast("timestamp"))
+    now = F.when(F.col("was_at").isNull() | (at > was_at), F.col("live")).when(at == was_at, F.least("live", "was")).otherwise(F.col("was"))
+    return existence.join(old, ["target", "key"], "left").select("target", "key", "refs", (now - F.coalesce("was", F.lit(0))).alias("live"), "known", "first_at", "last_at")
+
+
+def _same(a: DataFrame, b: DataFrame, columns: list[str]):
+    match = F.lit(True)
+    for c in columns:
+        match &= a[c].eqNullSafe(b[c])
+    return match
+
+
+def new_references(refs: DataFrame, held: DataFrame) -> DataFrame:
+    """References that are not among those held: each once, so a repeated delivery counts once."""
+    once = refs.groupBy(*HELD).agg(F.min("at").alias("at"))
+    return once.join(held, _same(once, held, HELD), "left_anti")
+
+
+def advance(state: DataFrame, held: DataFrame, refs: DataFrame, *existence: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(state, held references) after later rows: their references and what they say of existence.
+
+    An earlier landing time of a held reference is taken over.
+    """
+    fresh = new_references(refs, held)
+    said = existence[0]
+    for e in existence[1:]:
+        said = said.unionByName(e)
+    after = apply_deltas(state, existence_deltas(said, state), reference_deltas(fresh))
+    return after, held.select(*HELD, "at").unionByName(refs.select(*HELD, "at")).groupBy(*HELD).agg(F.min("at").alias("at"))
+
+
+def withdraw(state: DataFrame, held: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(state, held references) without references that were taken back; what is not held changes nothing."""
+    real = held.join(gone, _same(held, gone, HELD), "left_semi")
+    return apply_deltas(state, reference_deltas(real, -1)), held.join(gone, _same(held, gone, HELD), "left_anti")
+
+
 def orphan_keys(state: DataFrame) -> DataFrame:
     """Keys with positive references and zero existence."""
     return state.where((F.col("refs") > 0) & (F.col("live") <= 0))

@@ -56,3 +56,33 @@ def test_hot_key(spark):
     nodes = [("hot", True, t(1), "")] + [(f"n{i}", False, t(1), "") for i in range(300)]
     edges = [(f"n{i}", "hot", "x", t(2), "") for i in range(300)]
     assert R.find_orphans(*tables(spark, nodes, edges, [])).where("state = 'deleted'").count() == 300
+
+
+def test_state_follows_later_rows(spark):
+    """Tombstone -1, return +1, repeats and old rows 0; the folded state equals that of all rows at once."""
+    node, edge, _ = tables(spark, [("a", False, t(1), "")], [("x", "A ", "r", t(2), "")], [])
+    none = R.episode_references(spark.createDataFrame([], EPISODE))
+    held = R.edge_references(edge).where("field = 'edge.dst'").select(*R.HELD, "at")
+    state = R.apply_deltas(R.node_existence(node), R.reference_deltas(held))
+    seen_nodes, seen_edges = [("a", False, t(1), "")], [("x", "A ", "r", t(2), "")]
+
+    def step(nodes, edges):
+        nonlocal state, held
+        seen_nodes.extend(nodes)
+        seen_edges.extend(edges)
+        n, e, _ = tables(spark, nodes, edges, [])
+        refs = R.edge_references(e).where("field = 'edge.dst'").unionByName(none)
+        state, held = R.advance(state, held, refs, R.node_existence(n), R.episode_existence(spark.createDataFrame([], EPISODE)))
+        rows = {r.key: (r.refs, r.live) for r in state.collect()}
+        n, e, _ = tables(spark, seen_nodes, seen_edges, [])
+        whole = R.apply_deltas(R.node_existence(n), R.reference_deltas(R.edge_references(e).where("field = 'edge.dst'")))
+        assert rows == {r.key: (r.refs, r.live) for r in whole.collect()}
+        return rows["a"], {r.key for r in R.orphan_keys(state).collect()}
+
+    assert step([("a", True, t(3), "")], []) == ((1, 0), {"a"})
+    assert step([("a", True, t(3), "")], [("x", "A ", "r", t(2), ""), ("x", "A ", "r", t(4), "")]) == ((1, 0), {"a"})
+    assert step([("a", False, t(2), "")], [("x", "a", "r", t(4), "")]) == ((2, 0), {"a"})
+    assert step([("a", False, t(5), "")], [("y", "b", None, t(4), "")]) == ((2, 1), {"b"})
+    assert step([("b", False, t(6), "")], [("y", "b", None, t(4), "")]) == ((2, 1), set())
+    state, held = R.withdraw(state, held, held.where("to_id = 'a'"))
+    assert {r.key: r.refs for r in state.collect()} == {"a": 1, "b": 1} and held.count() == 2
