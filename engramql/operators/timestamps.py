@@ -3,7 +3,9 @@
 The raw strings are reduced to a dictionary of distinct (kind, text, zone)
 entries, each parsed exhaustively once by ``parse_entry``; the instants are
 joined back to the rows.  With ``dictionary_path`` the dictionary persists:
-entries already there are not parsed again and new ones are appended.
+entries already there are not parsed again and new ones are appended.  Entries
+are kept apart by the version of what they were parsed with (alias table, zone
+database), so a changed alias leaves no stale instants.
 
 Defined results: null or blank start text falls back to the date; unreadable
 texts, impossible dates, unknown zones and local times without any zone give
@@ -13,6 +15,7 @@ occurs twice is the earlier instant; a skipped one moves on by the gap.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
@@ -27,6 +30,9 @@ from engramql.functions.text import blank, stripped
 
 #: A zone alias table above this is no small lookup table; the operator refuses it.
 MAX_ALIASES = 10_000
+DICTIONARY = "kind string, text string, zone string, start_ms bigint"
+#: Raised with every change of what ``parse_entry`` reads.
+FORMATS = 1
 
 MONTHS = {m: i for i, m in enumerate(("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"), 1)}
 FULL_MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
@@ -164,7 +170,7 @@ def parse_dictionary(entries: DataFrame, aliases: dict[str, str]) -> DataFrame:
             ms = [parse_entry(k, t, z, zone_of) for k, t, z in zip(b["kind"], b["text"], b["zone"])]
             yield b.assign(start_ms=pd.array(ms, dtype="Int64"))
 
-    return entries.mapInPandas(run, "kind string, text string, zone string, start_ms bigint")
+    return entries.mapInPandas(run, DICTIONARY)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -172,6 +178,17 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def dictionary_version(aliases: dict[str, str]) -> str:
+    """A digest of all that an entry's instant depends on beside its own texts."""
+    try:
+        from importlib.metadata import version
+
+        zones = version("tzdata")
+    except Exception:  # noqa: BLE001 - the zones of the operating system
+        zones = str(len(_iana()))
+    return hashlib.sha256(repr((FORMATS, zones, sorted(aliases.items()))).encode()).hexdigest()[:16]
+
+
 def normalise_starts(events: DataFrame, accounts: DataFrame, zone_alias: DataFrame, dictionary_path: str | None = None) -> DataFrame:
     """(raw_id, start_ms) of each record whose start is known.
 
@@ -198,8 +215,9 @@ def normalise_starts(events: DataFrame, accounts: DataFrame, zone_alias: DataFra
     if dictionary_path is None:
         known = parse_dictionary(entries, aliases)
     else:
-        if _exists(spark, dictionary_path):
-            entries = entries.join(spark.read.parquet(dictionary_path), ["kind", "text", "zone"], "left_anti")
-        parse_dictionary(entries, aliases).write.mode("append").parquet(dictionary_path)
-        known = spark.read.parquet(dictionary_path)
+        path = f"{dictionary_path.rstrip('/')}/version={dictionary_version(aliases)}"
+        if _exists(spark, path):
+            entries = entries.join(spark.read.schema(DICTIONARY).parquet(path), ["kind", "text", "zone"], "left_anti")
+        parse_dictionary(entries, aliases).write.mode("append").parquet(path)
+        known = spark.read.schema(DICTIONARY).parquet(path)
     return keyed.join(known.where("start_ms IS NOT NULL"), ["kind", "text", "zone"]).select("raw_id", "start_ms").distinct()

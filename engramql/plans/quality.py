@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from engramql.operators import references, timestamps
-from engramql.storage import table
+from engramql.storage import shared_dir, table
 
 
 def p2_found(spark, d):
@@ -16,7 +18,9 @@ def p2_report(spark, d):
 
 
 def p5_found(spark, d):
-    return timestamps.normalise_starts(table(spark, d, "raw_calendar_event"), table(spark, d, "calendar_account"), table(spark, d, "zone_alias"))
+    """The dictionary of a data folder lies in the shared folder, so a second run parses only what is new."""
+    path = f"{shared_dir(spark)}/start_dictionary/{hashlib.sha256(d.encode()).hexdigest()[:16]}"
+    return timestamps.normalise_starts(table(spark, d, "raw_calendar_event"), table(spark, d, "calendar_account"), table(spark, d, "zone_alias"), path)
 
 
 _ORPHANS = r"""

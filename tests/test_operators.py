@@ -87,7 +87,7 @@ def test_ancestors_end_on_cycles(spark):
 
 
 def test_resolve_names(spark):
-    n = spark.createDataFrame([("1", "fact", "redis"), ("2", "entity", "Redis"), ("3", "fact", "postgres"), ("4", "fact", "the postgres server instance")], "id string, type string, value string")
+    n = spark.createDataFrame([("1", "fact", "redis"), ("2", "entity", "Redis"), ("3", "entity", "postgres"), ("4", "fact", "the postgres server instance"), ("5", "fact", "postgre")], "id string, type string, value string")
     q = spark.createDataFrame([("REDIS",), ("postgr",), ("nothing",), ("",)], "name string")
     assert {r.name: (r.id, r.tier) for r in G.resolve_names(q, n).collect()} == {"REDIS": ("2", 1), "postgr": ("3", 3)}
 
@@ -306,3 +306,53 @@ def test_subject_proposals_and_daily_cap(spark):
     assert J.subject_proposals(None, []) == []
     df = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("d", 86_400_001)], "id string, ts bigint")
     assert {r.id for r in A.daily_cap(df, "ts", 2).collect()} == {"a", "b", "d"}
+
+
+def test_budget_keeps_every_row_that_fits(spark):
+    rows = [(f"{i:05d}", 1.0 - i / 20_000, 2, False) for i in range(6000)] + [(f"z{i}", 0.9999 - i / 1000, 0, False) for i in range(5)] + [("k", 0.1, 10, True)]
+    df = spark.createDataFrame(rows, "id string, score double, chars int, hard boolean").repartition(4)
+    for budget in (20, 11_000, 12_010, 12_009, 9):
+        want, total = {"k"}, 10
+        for r in sorted((r for r in rows if not r[3]), key=lambda r: (-round(r[1], 9), r[0])):
+            total += r[2]
+            if total > budget:
+                break
+            want.add(r[0])
+        assert {r.id for r in R.within_budget(df, budget).collect()} == want
+
+
+def test_surfacing_cap_counts_by_time_shown(spark):
+    h = 3_600_000
+    now = 1000 * h
+    due = [(f"n{i}", now + (100 + i) * h, "other", None, None, None, None) for i in range(7)]
+    shown = [
+        ("a", now + 50 * h, "other", None, "surfaced", None, now - 2 * h),  # counts
+        ("b", now - 1 * h, "other", None, "surfaced", None, now - 3 * h),  # was P0 when shown
+        ("c", now + 50 * h, "other", None, "seen", None, now - 30 * h),  # shown too long ago
+        ("d", now + 50 * h, "other", None, "dismissed", None, now - 2 * h),  # closed
+    ]
+    schema = "node_id string, due_ms bigint, action_type string, recurrence_rule string, outcome string, snooze_until_ms bigint, surfaced_ms bigint"
+    nodes = spark.createDataFrame([(x[0], 0.5) for x in due + shown], "id string, s double")
+    got = R.surface_rank(spark.createDataFrame(due + shown, schema), nodes, now)
+    assert {r.node_id for r in got.collect()} == {"n0", "n1", "n2", "n3"}
+
+
+def test_names_bind_to_entities_only(spark):
+    n = spark.createDataFrame([("1", "fact", "Open AI is it"), ("2", "entity", "open ai key"), ("3", "entity", "Open AI"), ("4", "entity", "b"), ("5", "fact", "go"), ("6", "entity", "go on"), ("7", "entity", "x go along y"), ("8", "entity", None)], "id string, type string, value string")
+    names = spark.createDataFrame([("OPEN AI",), ("open",), ("GO",), ("o",), ("zz",), ("",), ("n",)], "name string")
+    got = {r.name: (r.id, r.tier) for r in G.resolve_names(names, n).collect()}
+    assert got == {"OPEN AI": ("3", 1), "open": ("3", 3), "GO": ("5", 2)}
+    n = n.unionByName(spark.createDataFrame([("9", "entity", "to")], n.schema))
+    assert {r.name: (r.id, r.tier) for r in G.resolve_names(names, n).collect()}["o"] == ("9", 3)
+
+
+def test_echoes_read_whole_texts(spark):
+    from engramql.functions.seams import word_counts, with_vectors
+    import numpy as np
+
+    tail = " ".join(f"w{i}" for i in range(40))
+    rows = [("a", 100, "observed", f"checked {tail}"), ("b", 90, "inferred", f"seen {tail}"), ("c", 95, "inferred", "checked nothing of that at all"), ("d", 80, "observed", None), ("e", 99, "inferred", ""), ("f", 300, "observed", f"seen {tail}")]
+    df = with_vectors(spark.createDataFrame(rows, "id string, ts bigint, origin string, content string"), "content")
+    got = {(r.id, r.echo_of): r.cos for r in P.echoes(df, 100, 0.85).collect()}
+    a, b = word_counts(rows[0][3]), word_counts(rows[1][3])
+    assert got == {("a", "b"): round(float(a @ b / np.linalg.norm(a) / np.linalg.norm(b)), 6)}

@@ -139,3 +139,30 @@ def test_remember_ambient_and_snapshots(spark, tmp_path):
     assert m.ambient("build runs on port 8080 every night") == [f"- {value}"]
     shot = m.record_snapshot([value], 3000)
     assert [r.same for r in m.replay_snapshot(shot).collect()] == [True]
+
+
+def test_turns_of_any_line_end(spark):
+    docs = spark.createDataFrame([("a", "Ann: hi\r\nmore\r\nBob: yo\r\n"), ("b", "x\ry\nCid: z")], "path string, content string")
+    got = {(r.path, r.turn): (r.speaker, r.text) for r in files.speaker_turns(docs).collect()}
+    assert got == {("a", 1): ("Ann", "hi\nmore"), ("a", 2): ("Bob", "yo"), ("b", 0): ("Unknown", "x\ry"), ("b", 1): ("Cid", "z")}
+
+
+def test_store_never_shows_a_part(spark, tmp_path):
+    """No step of a write takes the table away, and a lost writer leaves the last version."""
+    s = SnapshotStore(spark, f"file://{tmp_path}/store", keep=2)
+    s.publish("t", spark.range(3))
+    s._write("t", spark.range(100))  # a writer that is lost before its manifest
+    (tmp_path / "store" / "t" / ".next-x").write_text("nothing")
+    assert s.current("t") == 1 and s.read("t").count() == 3
+    reader = s.read("t")
+    s.append("t", spark.range(3, 5))
+    assert s.current("t") == 2 and sorted(r.id for r in s.read("t").collect()) == [0, 1, 2, 3, 4] and reader.count() == 3
+    assert s.parts("t", 2)[:1] == s.parts("t", 1)
+    with pytest.raises(RuntimeError):
+        s._commit("t", 2, s.parts("t", 1))
+    for i in range(3):
+        s.append("t", spark.range(5 + i, 6 + i))
+    assert s.read("t").count() == 8 and s.versions("t") == [4, 5]
+    s.publish("t", spark.range(1))
+    s.publish("t", spark.range(2))
+    assert s.read("t").count() == 2 and len([p for p in os.listdir(tmp_path / "store" / "t") if p.startswith("part-")]) == 3  # the lost one too

@@ -93,3 +93,12 @@ def test_normalise(spark, tmp_path):
 
 def test_empty(spark):
     assert rows(spark, []) == {}
+
+
+def test_a_changed_alias_leaves_no_stale_instant(spark, tmp_path):
+    path = f"file://{tmp_path}/dictionary"
+    e = spark.createDataFrame([(1, "a", "2025-07-01T10:00:00", None, "here", "")], EVENTS)
+    accounts = spark.createDataFrame([("a", None)], "account_id string, default_zone string")
+    got = [T.normalise_starts(e, accounts, spark.createDataFrame([("here", z)], "alias string, zone_name string"), path).first().start_ms for z in ("+01:00", "+02:00", "+01:00")]
+    assert got == [ms(2025, 7, 1, 9), ms(2025, 7, 1, 8), ms(2025, 7, 1, 9)]
+    assert spark.read.parquet(path).count() == 2
