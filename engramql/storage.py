@@ -12,7 +12,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -37,7 +39,34 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables written by ``cut`` that no later plan reads."""
+    for t in tables:
+        p = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.cut_path)
+        p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def shared_files(table: DataFrame) -> list[str]:
+    """The files of a table written by ``cut``: every executor can read them."""
+    return sorted(table.inputFiles())
+
+
+def read_shared(files: list[str], columns: list[str], where=None) -> Iterator[pa.RecordBatch]:
+    """Rows of shared files from within a task, one at a time; ``where`` is a pyarrow filter."""
+    import pyarrow.dataset as ds
+    from pyarrow import fs
+
+    if not files:
+        return
+    system, _ = fs.FileSystem.from_uri(files[0])
+    paths = [fs.FileSystem.from_uri(f)[1] for f in files]
+    scan = ds.dataset(paths, filesystem=system, format="parquet").scanner(columns=columns, filter=where, batch_size=1, batch_readahead=1, fragment_readahead=1, use_threads=False)
+    yield from (b for b in scan.to_batches() if b.num_rows)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
