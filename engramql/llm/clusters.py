@@ -2,12 +2,15 @@
 
 Exact copies are one weighted row.  Rows lie in cells by their nearest pivot (a
 bounded hash sample), cells in packs, and every pack of a type meets every other
-once.  A cell is held against all rows that its mean and widest angle do not
-rule out, so no pair at ``threshold`` is missed, whatever the pivots.  A first
+once, read from the written table and not shuffled.  A cell is held against all
+rows that its mean and widest angle do not rule out, so no pair at
+``threshold`` is missed, whatever the pivots.  A first
 pass counts each row's local density (weighted neighbours at ``threshold`` or
 more), a second one, over rows with neighbours only, finds the nearest denser
-row.  Rows without a denser neighbour are peaks; clusters are the trees of
-pointers below them, by connected components.  A pair of packs emits at most a
+row.  Peaks are chosen by their distance to the nearest denser row: beyond the
+angle of ``threshold``.  Every other row points to its nearest denser row, and
+the labels follow the pointers up to the peak (components of the pointer trees,
+each of which has one peak).  A pair of packs emits at most a
 line per row and cell, never its pairs.
 
 Densities tie on purpose to the smaller id, so the result does not depend on
@@ -20,6 +23,7 @@ cluster of its own; null types form one type ''.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,7 +34,7 @@ from pyspark.sql import functions as F
 from engramql.functions.vectors import first_of_row, matrix, raw_matrix, unit
 from engramql.llm.neighbours import SLACK, exact, live_vectors
 from engramql.operators.components import components
-from engramql.storage import cut
+from engramql.storage import cut, discard, read_shared, shared_files
 
 #: At most so many pivots, a sample by hash; at 64 dimensions 1 MB.
 MAX_PIVOTS = 4096
@@ -143,23 +147,42 @@ def near_rows(a: np.ndarray, b: np.ndarray, cells: np.ndarray, threshold: float)
 
 
 def meet(packs: DataFrame, dim: int, threshold: float, found: Callable, schema: str) -> DataFrame:
-    """Every pack of a type against every other and itself, once; ``found`` makes rows of a side's ids from pairs."""
+    """Every pack of a type against every other and itself, once; ``found`` makes rows of a side's ids from pairs.
+
+    A task holds one pack and reads the others one by one from the written
+    table, so no vector is shuffled and a task has two packs in memory.  Of two
+    packs, a hash of their names decides which meets the other, so tasks are of
+    like size.
+    """
+    files = shared_files(packs)
+    columns = ["pack", "ids", "vectors", "cells", "masses"]
+
+    def parts(b: pa.RecordBatch) -> tuple:
+        ids = np.array(b.column("ids")[0].as_py(), dtype=object)
+        return ids, np.frombuffer(b.column("vectors")[0].as_py(), dtype=np.float32).reshape(-1, dim), np.array(b.column("masses")[0].as_py(), dtype=np.int64)
+
+    def turn(a: str, b: str) -> bool:
+        """Whether pack ``a`` is the one that meets ``b``."""
+        x, y = sorted((a, b))
+        return (zlib.crc32(f"{x}|{y}".encode()) & 1 == 0) == (a == x)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute as pc
+
         for t in batches:
-            for i in range(t.num_rows):
-                ids, vectors, masses = [], [], []
-                for side in ("", "2"):
-                    ids.append(np.array(t.column("ids" + side)[i].as_py(), dtype=object))
-                    vectors.append(np.frombuffer(t.column("vectors" + side)[i].as_py(), dtype=np.float32).reshape(-1, dim))
-                    masses.append(np.array(t.column("masses" + side)[i].as_py(), dtype=np.int64))
-                same = t.column("pack")[i].as_py() == t.column("pack2")[i].as_py()
-                yield from found(ids, vectors, masses, near_rows(*vectors, np.array(t.column("cells")[i].as_py()), threshold), same)
+            for kind, pack in zip(t.column("type").to_pylist(), t.column("pack").to_pylist()):
+                own = next(read_shared(files, columns, (pc.field("type") == kind) & (pc.field("pack") == pack)))
+                a, cells = parts(own), np.array(own.column("cells")[0].as_py())
+                others = [p for b in read_shared(files, ["pack"], pc.field("type") == kind) for p in b.column("pack").to_pylist()]
+                mine = [p for p in others if p == pack or turn(pack, p)]
+                for other in read_shared(files, columns, (pc.field("type") == kind) & pc.field("pack").isin(mine)):
+                    b = parts(other)
+                    sides = zip(a, b)
+                    ids, vectors, masses = (list(x) for x in sides)
+                    yield from found(ids, vectors, masses, near_rows(*vectors, cells, threshold), other.column("pack")[0].as_py() == pack)
 
-    other = packs.select("type", *(F.col(c).alias(c + "2") for c in ("pack", "ids", "vectors", "masses")))
-    names = packs.select("type", "pack").join(other.select("type", "pack2"), "type").where("pack <= pack2")
-    both = names.join(packs, ["type", "pack"]).join(other, ["type", "pack2"])
-    return both.select("pack", "pack2", "ids", "vectors", "cells", "masses", "ids2", "vectors2", "masses2").mapInArrow(run, schema)
+    names = packs.select("type", "pack")
+    return names.repartition(max(1, names.count())).mapInArrow(run, schema)
 
 
 def neighbour_counts(packs: DataFrame, dim: int, threshold: float) -> DataFrame:
@@ -211,10 +234,15 @@ def density_clusters(vectors: DataFrame, threshold: float = 0.75, dim: int = 64)
     keyed = cut(keyed_vectors(vectors), "keyed")
     rows = cut(weighted_rows(keyed), "rows")
     placed = cut(place_rows(rows, dim), "placed")
-    counts = cut(neighbour_counts(cut(pack_rows(placed.withColumn("mass", F.col("weight"))), "packs"), dim, threshold), "counts")
+    packs = cut(pack_rows(placed.withColumn("mass", F.col("weight"))), "packs")
+    counts = cut(neighbour_counts(packs, dim, threshold), "counts")
+    discard(packs)
     own = rows.select("id", "weight").join(counts, "id", "left").select("id", (F.col("weight") + F.coalesce("n", F.lit(0))).alias("density"))
     grouped = placed.join(counts, "id").withColumn("mass", F.col("weight") + F.col("n"))  # single rows are done
-    links = denser_neighbours(cut(pack_rows(grouped), "packs"), dim, threshold).select(F.col("id").alias("a"), F.col("parent").alias("b"))
+    packs = cut(pack_rows(grouped), "packs")
+    discard(placed)
+    links = cut(denser_neighbours(packs, dim, threshold).select(F.col("id").alias("a"), F.col("parent").alias("b")), "pointers")
+    discard(packs)
     named = own.join(components(links), own.id == F.col("v"), "left").select(F.col("id").alias("rep"), F.coalesce("label", "id").alias("label"), F.col("density").cast("double").alias("density"))
     copies = rows.select(F.col("id").alias("rep"), "type", "h1", "h2").join(named, "rep").select("type", "h1", "h2", "label", "density")
     return keyed.select("id", "type", "h1", "h2").join(copies, ["type", "h1", "h2"]).select("label", "id", "type", "density")
