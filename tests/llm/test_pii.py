@@ -1,6 +1,8 @@
 import json
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from engramql.llm import pii as P
 from engramql.llm import pii_training as T
@@ -64,16 +66,83 @@ def test_program_chooses_the_best_segmentation():
 
 
 def test_held_out_rows():
-    """Names of the held-out grammar lack a fifth of their words in the table."""
+    """Names of the held-out grammar lack half of their words in the table, and half of them are spelled by chance."""
     with open(P.WEIGHTS, encoding="utf-8") as f:
-        precision, recall = T.measure(json.load(f), rows=400)
-    assert precision >= 0.99 and recall >= 0.96
+        got = T.measure(json.load(f), rows=600)
+    assert all(precision >= 0.97 for precision, _ in got.values())
+    assert all(recall >= (0.88 if kind == "NAME" else 0.95) for kind, (_, recall) in got.items())
 
 
 def test_training_learns():
-    w = T.train(rows=400, epochs=2)
-    precision, recall = T.measure(w, rows=200)
-    assert precision >= 0.9 and recall >= 0.85
+    got = T.measure(T.train(rows=600, epochs=2), rows=200)
+    assert all(precision >= 0.9 and recall >= 0.75 for precision, recall in got.values())
+
+
+#: Names and carriers that neither the grammar of the training nor the name table has.
+OUTSIDE = [
+    "Priyanka Deshmukh", "Kofi Mensah", "Anneliese Vogt", "Bartholomew Finch", "Hiroshi Nakamura", "Leila Farouk", "Gwendolyn Hargreaves", "Mateus Oliveira", "Rosalind Achebe", "Nikolai Volkov", "Beatrix Lindqvist", "Thandiwe Nkosi",
+    "Giulia Ferrari", "Esteban Quiroga", "Yasmin Choudhury", "Wolfgang Amsel", "Henriette Falk", "Desmond Okafor", "Marguerite Blanchet", "Sven Halvorsen", "Akira Mori", "Imogen Whitlock", "Rafael Cardoso", "Bronwen Price",
+]
+CARRIERS = {
+    "NAME": ["Yesterday I met {} at the library.", "Please give the folder to {} before noon.", "{} will water the plants.", "Dr. {} is on leave.", "{}'s bicycle was found.", "The lecture by {} was full.", "Best wishes,\n{}", "Did you hear from {} lately?", "Seated: {}", "We are waiting for {} (late as ever)."],
+    "EMAIL": ["Drop a line to {} when ready.", "The form went to {}, twice.", "login {} / secret", "Subscribe: {}", "{} is full", "Ping {} or wait.", "Bitte an {} senden", "({})", "Kontakt {}.", "e-mail = {}"],
+    "PHONE": ["Ring {} at noon.", "The clinic answers on {}.", "Voicemail: {}", "My cell: {}.", "Call {} or knock.", "Rufen Sie {} an.", "Hotline {}, all day", "Mobile {}", "fax to {}", "tel. {}"],
+    "ADDRESS": ["The bakery at {} opens at six.", "Send parcels to {}, please.", "She grew up at {}.", "Venue: {}", "Our shop is {}.", "Abholung: {}", "Meet me outside {}.", "The house, {}, was sold.", "Rent for {} is due.", "from {} to the river"],
+    "ID_NUMBER": ["Her SSN is {}.", "SSN {} was leaked.", "the social security number {} is wrong", "Social security: {}", "My SSN: {}", "(SSN {})", "check SSN {} again", "SSN {}, born in May", "SSN: {}; valid", "old SSN {}"],
+}
+VALUES = {
+    "NAME": OUTSIDE,
+    "EMAIL": ["quentin.marsh@harborline.net", "t.abara at fieldnotes dot org", "zoe_p[at]lumen[dot]io", "billing@northwind.co.uk", "OTTO@KESSEL.DE", "a.b-c+d@sub.domain.edu"],
+    "PHONE": ["+1 415 867 5309", "(212) 664-7665", "030 2093 7080", "+44 161 496 0735", "617-253-1000", "+33 4 72 10 30 30"],
+    "ADDRESS": ["1600 Wisteria Lane", "17 Beacon Hill Road, Apt 3", "Mozartstraße 12b", "8 rue Lepic", "Calle Fuencarral, 77", "42 Elmwood Ave"],
+    "ID_NUMBER": ["219-09-9999", "078 05 1120", "457-55-5462", "123-45-6789"],
+}
+
+
+@pytest.mark.parametrize("kind", P.KINDS)
+def test_recall_outside_grammar_and_table(kind):
+    finder, hits, n = FINDER, 0, 0
+    for carrier in CARRIERS[kind]:
+        for value in VALUES[kind]:
+            text = carrier.format(value)
+            hits += [(s.kind, text[s.start : s.end]) for s in finder.find(text)] == [(kind, value)]
+            n += 1
+    print(kind, hits, n)
+    assert hits >= 0.9 * n, (kind, hits, n)
+
+
+def test_neighbours_bear_on_each_other():
+    """The transition from one segment to the next is a feature of its own."""
+    a, b = P.Segment(0, 4, "NAME", ["a"]), P.Segment(6, 9, "PHONE", ["b"])
+    text = "abcd, 123 and more"
+    assert P.follows(text, a, b) == "NAME>PHONE|marks" and P.follows("x" * 99, a, P.Segment(60, 63, "PHONE", [])) is None
+    assert P.best_segmentation([a, b], {"a": 2.0, "b": -1.0, "NAME>PHONE|marks": 2.0}, text) == [a, b]
+    assert P.best_segmentation([a, b], {"a": 2.0, "b": 1.0, "NAME>PHONE|marks": -2.0}, text) == [a]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 90), st.integers(1, 30), st.sampled_from("XY"), st.integers(-3, 4)), max_size=7), st.dictionaries(st.sampled_from(["X>Y|words", "Y>X|words", "X>X|words", "Y>Y|words", "X>Y|touch"]), st.integers(-4, 4)))
+def test_program_against_all_segmentations(spans, moves):
+    text = "ab " * 50
+    segs = [P.Segment(s, s + n, k, [f"w{i}"]) for i, (s, n, k, _) in enumerate(spans)]
+    weights = {**{f"w{i}": float(x[3]) for i, x in enumerate(spans)}, **moves}
+
+    def score(path):
+        return sum(weights[c.features[0]] for c in path) + sum(weights.get(P.follows(text, a, b), 0) for a, b in zip(path, path[1:]))
+
+    best = 0
+    for mask in range(1 << len(segs)):
+        path = sorted((c for i, c in enumerate(segs) if mask >> i & 1), key=lambda c: c.start)
+        if all(a.end <= b.start for a, b in zip(path, path[1:])):
+            best = max(best, score(path))
+    assert score(P.best_segmentation(segs, weights, text)) == best
+
+
+def test_redacted_rows_come_once(spark):
+    e = spark.createDataFrame([("a", "call +1 633 555 0157", "x"), ("a", "call +1 633 555 0157", "y"), ("a", "other", "z")], EPISODE)
+    c = spark.createDataFrame([(7, None, "")], CALENDAR)
+    got = [tuple(r) for r in P.redacted(P.texts(e, c), spark.createDataFrame([], "word string, part_kind string")).collect()]
+    assert sorted(got, key=repr) == [("episode.content", "a", "call [PHONE]"), ("episode.content", "a", "other"), ("raw_calendar_event.description_text", "7", None)]
 
 
 EPISODE, CALENDAR = "id string, content string, kind string", "raw_id bigint, description_text string, found string"
