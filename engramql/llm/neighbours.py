@@ -9,9 +9,10 @@ direction and widest angle, and a probe is held only against blocks that can
 still hold something above its floor.  Tight neighbourhoods are thus settled by
 the curves; only probes without close neighbours are held against most blocks.
 
-Probes travel in packs of bounded size next to the blocks; nothing that grows
-with the data is broadcast, and no pair of rows is emitted but the best k of a
-block.  Cosines are ranked in double precision, ties by the smaller id.
+Probes lie in packs of bounded size in a written table that the tasks of the
+exact pass read; every row is shuffled once for each ordering and once for that
+pass, nothing that grows with the data is broadcast, and no pair of rows is
+emitted but the best k of a block.  Cosines are ranked in double precision, ties by the smaller id.
 
 Defined results: vectors that are null, of another length, not finite or all
 zero are not there; a probe that is not usable gives no row; fewer than k rows
@@ -29,12 +30,14 @@ from pyspark.sql import functions as F
 
 from engramql.functions.vectors import best_of, first_of_row, matrix, raw_matrix, unit, usable
 from engramql.operators.versions import last_rows
-from engramql.storage import cut
+from engramql.storage import cut, read_shared, shared_files
 
 #: Rows the projection is fitted on.
 FIT_ROWS = 8192
 #: Rows of a block and probes of a pack (64 dimensions: 0.5 and 1 MB).
 BLOCK, PACK = 2048, 4096
+#: Blocks that a task holds at once (64 dimensions: 64 MB with their unit rows).
+HELD = 64
 #: More than the error of a float32 cosine; what is nearer than this is decided in double precision.
 SLACK = 1e-5
 
@@ -191,51 +194,34 @@ def merge_best(pairs: DataFrame, k: int) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def pack_blocks(first: DataFrame, dim: int) -> DataFrame:
-    """Rows along the first ordering in blocks: (ids, packed, mean, reach).
-
-    reach is the widest angle of the block between a row and its mean.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            m = raw_matrix(b.column("embedding"), dim)
-            ids = b.column("id")
-            for s in range(0, len(m), BLOCK):
-                x = m[s : s + BLOCK]
-                u = unit(x)
-                mean = u.astype(np.float64).mean(0)
-                length = np.linalg.norm(mean)
-                mean = mean / length if length > 1e-9 else np.eye(dim)[0]
-                reach = float(np.arccos(np.clip((u @ mean).min(), -1, 1)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids.slice(s, BLOCK).to_pylist()], pa.list_(pa.string())), pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()), pa.array([mean.tolist()], pa.list_(pa.float64())), pa.array([reach])],
-                    names=["ids", "packed", "mean", "reach"],
-                )
-
-    ordered = first.repartitionByRange("hkey", "id").sortWithinPartitions("hkey", "id")
-    return ordered.select("id", "embedding").mapInArrow(run, "ids array<string>, packed binary, mean array<double>, reach double")
-
-
-def exact_pass(blocks: DataFrame, packs: DataFrame, pack_count: int, salts: int, k: int, dim: int) -> DataFrame:
+def exact_pass(first: DataFrame, packs: DataFrame, k: int, dim: int) -> DataFrame:
     """What lies above a probe's floor, from the blocks that can hold it.
 
-    Blocks are spread over ``salts``, since there may be few packs to join on.
+    Rows come along the first ordering, each once; a task cuts them into blocks
+    with their mean and widest angle, holds up to ``HELD`` of them and reads
+    the written probe packs one by one.  A probe is held against a block only
+    if its angle to the mean lets the block reach its floor.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                ids = np.array(b.column("ids")[i].as_py(), dtype=object)
-                m = np.frombuffer(b.column("packed")[i].as_py(), dtype=np.float32).reshape(-1, dim)
-                probes = np.array(b.column("probe_ids")[i].as_py(), dtype=object)
-                q = np.frombuffer(b.column("probe_packed")[i].as_py(), dtype=np.float32).reshape(-1, dim)
-                floor = np.array(b.column("floors")[i].as_py())
-                uq, um = unit(q), unit(m)
-                angle = np.arccos(np.clip(uq @ np.array(b.column("mean")[i].as_py(), dtype=np.float32), -1, 1))
-                may = np.cos(np.maximum(0, angle - b.column("reach")[i].as_py() - 1e-4)) >= floor - SLACK
-                live = np.flatnonzero(may)
-                order = np.argsort(np.argsort(ids))
+    files = shared_files(packs)
+
+    def blocks(ids: pa.Array, m: np.ndarray) -> Iterator[tuple]:
+        for s in range(0, len(m), BLOCK):
+            x = m[s : s + BLOCK]
+            u = unit(x)
+            mean = u.astype(np.float64).mean(0)
+            length = np.linalg.norm(mean)
+            mean = mean / length if length > 1e-9 else np.eye(dim)[0]
+            names = np.array(ids.slice(s, BLOCK).to_pylist(), dtype=object)
+            yield names, np.argsort(np.argsort(names)), x, u, mean.astype(np.float32), float(np.arccos(np.clip((u @ mean).min(), -1, 1)))
+
+    def against(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        for pack in read_shared(files, ["probe_ids", "probe_packed", "floors"]):
+            probes = np.array(pack.column("probe_ids")[0].as_py(), dtype=object)
+            q = np.frombuffer(pack.column("probe_packed")[0].as_py(), dtype=np.float32).reshape(-1, dim)
+            floor, uq = np.array(pack.column("floors")[0].as_py()), unit(q)
+            for ids, order, m, um, mean, reach in held:
+                angle = np.arccos(np.clip(uq @ mean, -1, 1))
+                live = np.flatnonzero(np.cos(np.maximum(0, angle - reach - 1e-4)) >= floor - SLACK)
                 for s in range(0, len(live), 512):
                     at = live[s : s + 512]
                     cos = uq[at] @ um.T
@@ -245,12 +231,21 @@ def exact_pass(blocks: DataFrame, packs: DataFrame, pack_count: int, salts: int,
                     if len(r):
                         yield pa.RecordBatch.from_arrays([pa.array(probes[at[r]], pa.string()), pa.array(ids[c], pa.string()), pa.array(cosines)], names=["probe_id", "other_id", "cos"])
 
-    spread = blocks.withColumn("salt", F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(salts))).withColumn("pack", F.explode(F.sequence(F.lit(0), F.lit(pack_count - 1))))
-    held = packs.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
-    return spread.join(held, ["pack", "salt"]).select("ids", "packed", "mean", "reach", "probe_ids", "probe_packed", "floors").mapInArrow(run, PAIRS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for b in batches:
+            held += blocks(b.column("id"), raw_matrix(b.column("embedding"), dim))
+            if len(held) >= HELD:
+                yield from against(held)
+                held = []
+        if held:
+            yield from against(held)
+
+    ordered = first.repartitionByRange("hkey", "id").sortWithinPartitions("hkey", "id")
+    return ordered.select("id", "embedding").mapInArrow(run, PAIRS)
 
 
-def pack_probes(vectors: DataFrame, floors: DataFrame, dim: int) -> tuple[DataFrame, int]:
+def pack_probes(vectors: DataFrame, floors: DataFrame, dim: int) -> DataFrame:
     """Probes with their floors in packs of about ``PACK``: (pack, probe_ids, probe_packed, floors)."""
     probes = vectors.where("probe").join(floors, vectors.id == floors.probe_id, "left").select("id", "embedding", F.coalesce("floor", F.lit(-2.0)).alias("floor"))
     count = max(1, -(-vectors.where("probe").count() // PACK))
@@ -264,12 +259,14 @@ def pack_probes(vectors: DataFrame, floors: DataFrame, dim: int) -> tuple[DataFr
             names=["pack", "probe_ids", "probe_packed", "floors"],
         )
 
-    return packed.groupBy("pack").applyInArrow(run, "pack int, probe_ids array<string>, probe_packed binary, floors array<double>"), count
+    return packed.groupBy("pack").applyInArrow(run, "pack int, probe_ids array<string>, probe_packed binary, floors array<double>")
 
 
-def nearest(vectors: DataFrame, probe_ids: DataFrame, k: int = 10, dim: int = 64, curves: int = 3, axes: int = 8, bits: int = 7, window: int = 256) -> DataFrame:
+def nearest(vectors: DataFrame, probe_ids: DataFrame, k: int = 10, dim: int = 64, curves: int = 3, axes: int = 8, bits: int = 7, window: int = 256, settle: bool = True) -> DataFrame:
     """(probe_id, other_id, cos, rank): the k most similar rows of each probe.
 
+    ``settle`` adds the exact pass; without it the result is what the windows
+    of the orderings found (their recall is in the README).
     ``vectors`` has id and embedding, all usable; ``probe_ids`` has node_id.
     """
     marks = probe_ids.select(F.col("node_id").alias("id")).where("id IS NOT NULL").distinct().withColumn("probe", F.lit(True))
@@ -280,10 +277,10 @@ def nearest(vectors: DataFrame, probe_ids: DataFrame, k: int = 10, dim: int = 64
     placed = place(base, fitted, dim, bits)
     near = cut(merge_best(window_pairs(placed, k, dim, window), k), "windows")
     floors = near.groupBy("probe_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("cos")).alias("floor"))
-    packs, count = pack_probes(base, floors, dim)
-    blocks = pack_blocks(place(base, fitted[:1], dim, bits), dim)
-    salts = max(1, -(-base.count() // (8 * BLOCK)))
-    rest = exact_pass(blocks, packs, count, salts, k, dim)
+    if not settle:
+        return near
+    packs = cut(pack_probes(base, floors, dim), "probes")
+    rest = exact_pass(place(base, fitted[:1], dim, bits), packs, k, dim)
     return merge_best(near.select("probe_id", "other_id", "cos").unionByName(rest), k)
 
 

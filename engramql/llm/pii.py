@@ -86,7 +86,7 @@ _OF_PEOPLE = set(
 _NO_NAME = set(
     "the this that these those there here then when where what which who why how if is are was were be been has have had do does did not no yes and or but so as at by for from in into of on to with we you they he she it its our your their his her my i me us them all any each every some many few one two three first last next new old please thanks hello hi dear ask call mail ping send see note set run since only after before about over under "
     "der die das den dem des ein eine einen einem einer und oder aber nicht kein keine ist sind war waren wird werden hat haben mit von bei für auf aus nach zu zum zur im am an als wie wenn dass ich du er sie es wir ihr man bitte danke hallo seit nur auch noch schon "
-    "le la les un une des du de et ou mais ne pas est sont était avec pour par sur dans ce cette ces il elle nous vous ils je tu on merci bonjour depuis "
+    "le la les un une des du de au aux et ou mais ne pas est sont était avec pour par sur dans ce cette ces il elle nous vous ils je tu on merci bonjour depuis "
     "el los las una unos unas y o pero no es son fue con para por en del al este esta estos se yo tú él ella nosotros ustedes hay desde gracias hola que qué como cuando".split()
 )
 
