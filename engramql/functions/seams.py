@@ -7,6 +7,7 @@ caller; a service-backed one can take its place.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -71,6 +72,18 @@ def extract(text: str) -> list[Claim]:
     return out
 
 
+_RELATION = re.compile(r"^\W*(.+?)\s+(uses|depends on|runs on|works on|is part of|prefers|supersedes)\s+(.+?)[.!?]*$", re.IGNORECASE)
+
+
+def triples(text: str) -> str:
+    """'A uses B' sentences as a JSON list of triples."""
+    out = []
+    for s in re.split(r"(?<=[.!?])\s+|\n+", text or ""):
+        if m := _RELATION.match(s.strip()):
+            out.append({"subject": m[1], "predicate": re.sub(r"^is_", "", m[2].lower().replace(" ", "_")), "object": m[3]})
+    return json.dumps(out)
+
+
 @dataclass
 class Verdict:
     relation: str

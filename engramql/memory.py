@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from engramql.config import DEFAULT, Settings
 from engramql.functions import scalars as S
-from engramql.functions import seams
-from engramql.operators import belief, documents, graph, mutations, provenance, retrieval
+from engramql.functions import parsing, seams
+from engramql.operators import belief, documents, graph, lifecycle, mutations, provenance, retrieval
 from engramql.sources import ingest
 from engramql.sources.store import SnapshotStore
 from engramql.storage import cut
@@ -27,10 +27,10 @@ NO_ANSWER = "nothing stored on that"
 
 
 class Memory:
-    def __init__(self, spark: SparkSession, root: str, cfg: Settings = DEFAULT, embed=seams.embed, extract=seams.extract, judge=seams.judge_both_ways, compose=seams.compose):
+    def __init__(self, spark: SparkSession, root: str, cfg: Settings = DEFAULT, embed=seams.embed, extract=seams.extract, judge=seams.judge_both_ways, compose=seams.compose, triples=seams.triples):
         self.spark, self.cfg = spark, cfg
         self.store = SnapshotStore(spark, root)
-        self.embed, self.extract, self.judge, self.compose = embed, extract, judge, compose
+        self.embed, self.extract, self.judge, self.compose, self.triples = embed, extract, judge, compose, triples
 
     def table(self, name: str, schema: str) -> DataFrame:
         found = self.store.read(name)
@@ -80,6 +80,17 @@ class Memory:
         about = episodes.select(F.col("id").alias("episode_id"), "origin", "role", "session_id", "hard_keep", "salience", "ts")
         return claims.join(about, "episode_id")
 
+    def _triples(self, episodes: DataFrame) -> DataFrame:
+        """(subject, predicate, object) that the model reads from episodes, through the validator."""
+        triples = self.triples
+
+        def run(batches):
+            for b in batches:
+                yield b.assign(answer=[triples(t) for t in b["content"]])[["answer"]]
+
+        answers = episodes.select("content").mapInPandas(run, "answer string")
+        return answers.select(F.explode(parsing.valid_triples(F.col("answer"))).alias("t")).select("t.subject", "t.predicate", "t.object").distinct()
+
     def consolidate(self, now_ms: int) -> dict[str, int]:
         """One pass over the open episodes that clear the gate; counts by action."""
         episodes = self.episodes
@@ -110,7 +121,9 @@ class Memory:
         self.store.append("event", fresh.join(self.events.select("id"), "id", "left_anti"))
         grown = decided.where("node_id IS NOT NULL").select("claim_id", F.col("node_id").alias("src")).join(applied.where("action = 'extend'").select("claim_id", F.col("node_id").alias("dst")), "claim_id")
         links = grown.select("src", "dst", F.lit("extends").alias("rel"), F.lit(0.1).alias("w"), F.lit(now_ms).cast("bigint").alias("last_access"), F.lit("relation").alias("kind"))
-        self.store.publish("edge", mutations.upsert_edges(self.edges, links))
+        # names are resolved against the nodes before this pass, so a triple never binds to what it just added
+        typed = lifecycle.triple_edges(self._triples(taken), live, now_ms)
+        self.store.publish("edge", mutations.upsert_edges(self.edges, links.unionByName(typed.select(*links.columns))))
         self.store.publish("episode", mutations.mark_consolidated(episodes, waiting))
         return {r.action: r.n for r in applied.groupBy("action").agg(F.count(F.lit(1)).alias("n")).collect()}
 
@@ -145,13 +158,23 @@ class Memory:
         return answer
 
     def remember(self, text: str, session_id: str, now_ms: int) -> dict[str, int]:
-        """State a fact at once: appended as the user's word and consolidated in the same call; a repeat of a stored value changes nothing."""
-        known = self.live.where(F.col("value_hash") == F.sha2(F.lit(text), 256)).limit(1).count()
-        if known:
+        """State a fact at once, as the user's word: its event by name, or nothing for a value that is there already."""
+        claim = self.spark.createDataFrame([(seams.hashlib.sha256(f"{session_id}|{now_ms}|{text}".encode()).hexdigest(), text, [float(x) for x in self.embed(text)])], "id string, value string, embedding array<float>")
+        nodes = cut(self.nodes, "nodes")
+        live = nodes.where(~F.coalesce("tombstoned", F.lit(False)))
+        routes = cut(lifecycle.remembered(claim, live, now_ms, self.cfg), "routes")
+        found = routes.first()
+        event = {"insert": "unrelated", "append": "contradict_append", "oscillation": "contradict_oscillation", "reconcile": "contradict_reconcile"}.get(found.action)
+        if event is None:
             return {}
-        row = self.spark.createDataFrame([(f"remember: {text}", "asserted_by_user", "user", session_id, now_ms)], "content string, origin string, role string, session_id string, ts bigint")
-        self.add(row.withColumn("content", F.concat(F.lit("Remember "), F.lit(text))), now_ms)
-        return self.consolidate(now_ms)
+        new = routes.select(F.col("new_id").alias("id"), F.lit("fact").alias("type"), F.lit(text).alias("value"), F.lit("asserted_by_user").alias("origin"), F.lit(0.9).alias("s"), F.lit(0.95).alias("c"), F.lit(now_ms).cast("bigint").alias("last_access"), "prev_value")
+        merged = mutations.upsert_nodes(nodes, new, self.cfg)
+        if found.action == "reconcile":
+            merged = mutations.tombstone(merged, routes.select(F.col("old_id").alias("id")))
+        vector = claim.select(F.lit(found.new_id).alias("id"), F.sha2("value", 256).alias("value_hash"), F.col("embedding").alias("vector"))
+        self.store.publish("node", mutations.set_embeddings(merged, vector))
+        self.store.append("event", routes.select(F.sha2(F.concat_ws("|", "new_id", F.lit(event)), 256).alias("id"), F.lit(now_ms).cast("bigint").alias("ts"), F.lit(event).alias("event_type"), F.col("new_id").alias("node_id"), F.lit(None).cast("string").alias("episode_id"), F.lit(text).alias("value"), "magnitude"))
+        return {event: 1}
 
     def ambient(self, text: str, k: int = 5, floor: float = 0.45) -> list[str]:
         """Short lines of what a prompt touches, for injection beside it."""

@@ -137,16 +137,6 @@ def threshold_sweep(spark, d):
     return A.sweep(M.nodes(spark, d, "c"), "c", (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8), 0.75)
 
 
-@reg.query(
-    "gray_zone_bands",
-    "SELECT id, c, band FROM (SELECT id, c, CASE WHEN c >= 0.3 AND c < 0.45 THEN '0.3-0.45' WHEN c >= 0.45 AND c < 0.6 THEN '0.45-0.6' WHEN c >= 0.6 AND c < 0.88 THEN '0.6-0.88' END AS band FROM live) WHERE band IS NOT NULL QUALIFY row_number() OVER (PARTITION BY band ORDER BY round(c, 9) DESC, id) <= 16",
-    "live",
-)
-def gray_zone_bands(spark, d):
-    """The stratified sample; its scores are confidences here."""
-    return A.bands(M.live(spark, d, "c"), "c", (0.3, 0.45, 0.6, 0.88), 16, "id")
-
-
 @reg.query(
     "rank_report",
     """WITH step AS (SELECT src, dst, max(w) AS w FROM edges WHERE kind = 'relation' GROUP BY 1, 2), gold AS (SELECT src AS anchor, min(dst) AS gold FROM edges WHERE kind = 'relation' AND rel = 'uses' GROUP BY 1),
