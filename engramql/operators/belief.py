@@ -22,6 +22,7 @@ from engramql.config import DAY_MS, DEFAULT, Settings
 from engramql.functions import scalars as S
 from engramql.functions import seams
 from engramql.functions.vectors import best_of, first_of_row, raw_matrix, usable
+from engramql.storage import cut, read_shared, shared_files
 
 BLOCK, PACK = 4096, 512
 
@@ -29,30 +30,34 @@ BLOCK, PACK = 4096, 512
 def nominate(claims: DataFrame, nodes: DataFrame, k: int = DEFAULT.candidate_k, dim: int = 64) -> DataFrame:
     """(claim_id, node_id, cos, pos): the k nearest nodes of each claim, exactly.
 
-    Claims travel in packs of ``PACK`` rows to each Arrow batch of nodes, salted
-    so that few packs still use many tasks; a batch returns k rows a claim.
+    Claims are written once, in packs of about ``PACK``; nodes stay where they
+    are, and each task holds up to ``BLOCK`` of them against the packs that it
+    reads one by one.  A block returns k rows a claim, so no node is shuffled.
     """
     c = claims.where(usable(F.col("embedding"), dim)).select(F.col("id").alias("claim_id"), "embedding")
     count = max(1, -(-c.count() // PACK))
-    n = nodes.where(usable(F.col("embedding"), dim)).select("id", "embedding")
-    salts = max(1, -(-n.count() // BLOCK))
-    packs = c.withColumn("pack", F.pmod(F.xxhash64("claim_id"), F.lit(count))).groupBy("pack").agg(F.collect_list(F.struct("claim_id", "embedding")).alias("claims"))
-    packs = packs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).drop("pack")
-    blocks = n.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).groupBy("salt").agg(F.collect_list(F.struct("id", "embedding")).alias("rows"))
+    packed = c.withColumn("pack", F.pmod(F.xxhash64("claim_id"), F.lit(count))).groupBy("pack").agg(F.collect_list("claim_id").alias("ids"), F.flatten(F.collect_list("embedding")).alias("vectors"))
+    files = shared_files(cut(packed, "claims"))
+
+    def against(ids: pa.Array, m: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(np.argsort(np.array(ids.to_pylist(), dtype=object)))
+        length = np.linalg.norm(m, axis=1)
+        for pack in read_shared(files, ["ids", "vectors"]):
+            a = pack.column("vectors").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+            cos = np.round((a @ m.T) / (np.linalg.norm(a, axis=1)[:, None] * length[None, :]), 6)  # the order below, so ties are kept whole until ids decide
+            rows, cols = best_of(cos, k + 1, 0.0)
+            at = first_of_row(rows, cos[rows, cols], order[cols], k + 1)
+            rows, cols = rows[at], cols[at]
+            yield pa.RecordBatch.from_arrays([pack.column("ids").flatten().take(pa.array(rows)), ids.take(pa.array(cols)), pa.array(cos[rows, cols])], names=["claim_id", "node_id", "cos"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                q, r = b.column("claims")[i].values, b.column("rows")[i].values
-                a, m = (raw_matrix(x.field("embedding"), dim).astype(np.float64) for x in (q, r))
-                cos = (a @ m.T) / (np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(m, axis=1)[None, :])
-                cos = np.round(cos, 6)  # the order below, so ties are kept whole until ids decide
-                rows, cols = best_of(cos, k + 1, 0.0)
-                at = first_of_row(rows, cos[rows, cols], np.argsort(np.argsort(np.array(r.field("id").to_pylist(), dtype=object)))[cols], k + 1)
-                rows, cols = rows[at], cols[at]
-                yield pa.RecordBatch.from_arrays([q.field("claim_id").take(pa.array(rows)), r.field("id").take(pa.array(cols)), pa.array(cos[rows, cols])], names=["claim_id", "node_id", "cos"])
-
-    found = packs.join(blocks, "salt").select("claims", "rows").mapInArrow(run, "claim_id string, node_id string, cos double").where("claim_id <> node_id")
+            m = raw_matrix(b.column("embedding"), dim).astype(np.float64)
+            for s in range(0, b.num_rows, BLOCK):
+                yield from against(b.column("id").slice(s, BLOCK), m[s : s + BLOCK])
+
+    rows = nodes.where(usable(F.col("embedding"), dim)).select("id", "embedding")
+    found = rows.mapInArrow(run, "claim_id string, node_id string, cos double").where("claim_id <> node_id")
     w = Window.partitionBy("claim_id").orderBy(F.round("cos", 6).desc(), "node_id")
     return found.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k)
 

@@ -14,7 +14,7 @@ from engramql.config import DEFAULT, Settings
 from engramql.functions import scalars as S
 from engramql.functions.vectors import cosine, raw_matrix, unit, usable
 from engramql.operators.components import components
-from engramql.storage import cut
+from engramql.storage import cut, read_shared, shared_files
 
 BLOCK = 2048
 
@@ -71,35 +71,38 @@ def cohesion(members: DataFrame, dim: int = 64) -> DataFrame:
 def similar_pairs(rows: DataFrame, key: str, vector: str, threshold: float, dim: int = 64) -> DataFrame:
     """(a, b, cos) with a < b: all pairs at the threshold, block against block.
 
-    Vectors are packed into blocks of about ``BLOCK`` rows and every block
-    meets every other once as a matrix product; only pairs at the threshold
-    leave a task.  Meant for derived rows (centroids), which are few beside
-    the data.
+    Vectors are written once, in blocks of about ``BLOCK`` rows; the task of a
+    block reads the blocks that come after it and holds it against them as
+    matrix products.  Nothing is shuffled but the rows themselves, and only
+    pairs at the threshold leave a task.  Meant for derived rows (centroids),
+    which are few beside the data.
     """
     count = max(1, -(-rows.count() // BLOCK))
     packed = rows.select(F.col(key).alias("k"), F.transform(vector, lambda x: x.cast("double")).alias("v")).withColumn("block", F.pmod(F.xxhash64("k"), F.lit(count)).cast("int"))
-    blocks = packed.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("rows"))
-    left = blocks.select(F.col("block").alias("i"), F.col("rows").alias("left"), F.explode(F.sequence(F.col("block"), F.lit(count - 1))).alias("j"))
-    both = left.join(blocks.select(F.col("block").alias("j"), F.col("rows").alias("right")), "j")
+    blocks = cut(packed.groupBy("block").agg(F.collect_list("k").alias("ks"), F.flatten(F.collect_list("v")).alias("vs")), "blocks")
+    files = shared_files(blocks)
+
+    def sides(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        m = b.column("vs").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+        length = np.linalg.norm(m, axis=1, keepdims=True)
+        return np.array(b.column("ks").flatten().to_pylist(), dtype=object), m / np.where(length == 0, 1, length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for n in range(b.num_rows):
-                sides = []
-                for side in ("left", "right"):
-                    r = b.column(side)[n].values
-                    m = r.field("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-                    length = np.linalg.norm(m, axis=1, keepdims=True)
-                    sides.append((np.array(r.field("k").to_pylist(), dtype=object), m / np.where(length == 0, 1, length)))
-                (ka, ma), (kb, mb) = sides
-                cos = ma @ mb.T
-                x, y = np.nonzero(np.round(cos, 9) >= threshold)
-                a, c = ka[x], kb[y]
-                keep = (a < c) if b.column("i")[n] == b.column("j")[n] else (a != c)
-                low, high = np.where(a < c, a, c)[keep], np.where(a < c, c, a)[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(low, pa.string()), pa.array(high, pa.string()), pa.array(cos[x, y][keep])], names=["a", "b", "cos"])
-
-    return both.select("i", "j", "left", "right").mapInArrow(run, "a string, b string, cos double")
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            for i in batch.column("block").to_pylist():
+                own = sides(next(read_shared(files, ["block", "ks", "vs"], pc.field("block") == i)))
+                for b in read_shared(files, ["block", "ks", "vs"], pc.field("block") >= i):
+                    (ka, ma), (kb, mb) = own, sides(b)
+                    cos = ma @ mb.T
+                    x, y = np.nonzero(np.round(cos, 9) >= threshold)
+                    a, c = ka[x], kb[y]
+                    keep = (a < c) if b.column("block")[0].as_py() == i else (a != c)
+                    low, high = np.where(a < c, a, c)[keep], np.where(a < c, c, a)[keep]
+                    yield pa.RecordBatch.from_arrays([pa.array(low, pa.string()), pa.array(high, pa.string()), pa.array(cos[x, y][keep])], names=["a", "b", "cos"])
+
+    return blocks.select("block").repartition(count).mapInArrow(run, "a string, b string, cos double")
 
 
 def schema_relations(members: DataFrame, threshold: float = DEFAULT.schema_rel_similarity, dim: int = 64) -> DataFrame:
@@ -188,14 +191,14 @@ def rewired_edges(edges: DataFrame, merged: DataFrame) -> DataFrame:
 def linked_groups(rows: DataFrame, threshold: float, dim: int = 64) -> DataFrame:
     """(v, label): components of the graph of pairs at ``threshold``, block against block; single rows are not there.
 
-    A pair of blocks emits a line per row at most: its smallest linked row
-    within the two blocks, by labels that run along links until they rest.
+    Blocks are written once and read by the tasks that meet them.  A pair of
+    blocks emits a line per row at most: its smallest linked row within the two
+    blocks, by labels that run along links until they rest.
     """
-    count = max(1, -(-rows.count() // (4 * BLOCK)))  # larger blocks are sent less often, and read in pieces
+    count = max(1, -(-rows.count() // (4 * BLOCK)))
     packed = rows.select("id", F.col("embedding").cast("array<float>").alias("embedding"), F.pmod(F.xxhash64("id"), F.lit(count)).cast("int").alias("block"))
     blocks = cut(packed.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("id", "embedding"))).alias("rows")), "blocks")
-    left = blocks.select("block", F.col("rows").alias("left"), F.explode(F.sequence(F.col("block"), F.lit(count - 1))).alias("j"))
-    both = left.join(blocks.select(F.col("block").alias("j"), F.col("rows").alias("right")), "j").select("left", "right")
+    files = shared_files(blocks)
 
     def links(ka: np.ndarray, kb: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         names, at = np.unique(np.concatenate([ka, kb]), return_inverse=True)  # the same row on both sides is one vertex
@@ -212,21 +215,25 @@ def linked_groups(rows: DataFrame, threshold: float, dim: int = 64) -> DataFrame
         moved = np.flatnonzero(label != np.arange(len(names)))
         return names[label[moved]], names[moved]
 
+    def side(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        x = b.column("rows").flatten()
+        return np.array(x.field("id").to_pylist(), dtype=object), unit(raw_matrix(x.field("embedding"), dim))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for n in range(b.num_rows):
-                sides = []
-                for side in ("left", "right"):
-                    x = b.column(side)[n].values
-                    sides.append((np.array(x.field("id").to_pylist(), dtype=object), unit(raw_matrix(x.field("embedding"), dim))))
-                (ka, ma), (kb, mb) = sides
-                same = ka[0] == kb[0]
-                for s in range(0, len(ka), BLOCK):
-                    for t in range(s if same else 0, len(kb), BLOCK):
-                        a, c = links(ka[s : s + BLOCK], kb[t : t + BLOCK], ma[s : s + BLOCK] @ mb[t : t + BLOCK].T >= threshold)
-                        yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(c, pa.string())], names=["a", "b"])
-
-    return components(both.mapInArrow(run, "a string, b string"))
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            for i in batch.column("block").to_pylist():
+                ka, ma = side(next(read_shared(files, ["rows"], pc.field("block") == i)))
+                for b in read_shared(files, ["block", "rows"], pc.field("block") >= i):
+                    kb, mb = side(b)
+                    same = b.column("block")[0].as_py() == i
+                    for s in range(0, len(ka), BLOCK):
+                        for t in range(s if same else 0, len(kb), BLOCK):
+                            a, c = links(ka[s : s + BLOCK], kb[t : t + BLOCK], ma[s : s + BLOCK] @ mb[t : t + BLOCK].T >= threshold)
+                            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(c, pa.string())], names=["a", "b"])
+
+    return components(blocks.select("block").repartition(count).mapInArrow(run, "a string, b string"))
 
 
 def induce_schemas(loose: DataFrame, known: list[np.ndarray], cfg: Settings = DEFAULT, dim: int = 64) -> DataFrame:

@@ -24,11 +24,11 @@ def _claims(spark, d):
     return live.where("type = 'insight'"), live.where("type IN ('fact', 'entity')")
 
 
-@reg.query("claim_nominations", f"WITH {_NOM} SELECT claim_id, node_id, round(cos, 5) AS cos FROM top5", "live")
+@reg.query("claim_nominations", f"WITH {_NOM} SELECT claim_id, node_id, round(cos, 6) AS cos FROM top5", "live")
 def claim_nominations(spark, d):
     """G22, JN17: insights stand for claims."""
     claims, nodes = _claims(spark, d)
-    return B.nominate(claims, nodes).select("claim_id", "node_id", F.round("cos", 5).alias("cos"))
+    return B.nominate(claims, nodes).select("claim_id", "node_id", F.round("cos", 6).alias("cos"))
 
 
 @reg.query(

@@ -19,11 +19,14 @@ ledger     one row per call from ``lineitem``
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engramql.operators.versions import first_rows, last_rows
-from engramql.storage import table
+from engramql.sources.store import SnapshotStore
+from engramql.storage import shared_dir, table
 
 #: The present, for queries: 2026-10-01 UTC.
 NOW = 1_790_812_800_000
@@ -33,10 +36,33 @@ DUE_NOW = 897_868_800_000
 EVENT_TYPES = {"signup": "confirm", "click": "extend", "view": "unrelated", "error": "contradict_hold", "purchase": "contradict_reconcile"}
 
 
+def snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """The node table of the memory: the last row of each id, made once from the delivered rows and kept in the store.
+
+    It lies in the shared folder under a key of the delivered files (name, size,
+    time of change), so other or newer files never meet an old snapshot.  Rows
+    are in order of id; queries scan their columns of it without a shuffle.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/node.parquet")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    status = fs.getFileStatus(path)
+    files = fs.listStatus(path) if status.isDirectory() else [status]
+    key = hashlib.sha256("|".join(sorted(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in files)).encode()).hexdigest()[:24]
+    store = SnapshotStore(spark, f"{shared_dir(spark)}/snapshots/{key}")
+    found = store.read("node")
+    if found is None:
+        last = last_rows(table(spark, d, "node"))
+        try:
+            store.publish("node", last.repartitionByRange("id").sortWithinPartitions("id"))
+        except RuntimeError:  # another writer of the same snapshot was first
+            pass
+        found = store.read("node")
+    return found
+
+
 def nodes(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    """Only the asked columns are read and shuffled."""
-    keep = list(dict.fromkeys(["id", *columns]))
-    return last_rows(table(spark, d, "node").select(*keep, "landed_at") if "landed_at" not in keep else table(spark, d, "node").select(*keep)).select(*keep)
+    """Only the asked columns are read."""
+    return snapshot(spark, d).select(*dict.fromkeys(["id", *columns]))
 
 
 def live(spark: SparkSession, d: str, *columns: str) -> DataFrame:
