@@ -124,7 +124,7 @@ def text_chunks(c: Column, most: int = 24_000) -> Column:
 
     Lines are never split unless one alone is too long.
     """
-    lines = F.split(F.regexp_replace(c, r"([^\n]{1," + str(most - 1) + r"}\n?|\n)", "$1\u0001"), "\u0001")
+    lines = F.regexp_extract_all(c, F.lit(r"([^\n]{1," + str(most - 1) + r"}\n?|\n)"), F.lit(1))
     start = F.array(F.lit(""))
     def step(acc: Column, x: Column) -> Column:
         last = F.element_at(acc, -1)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from engramql.config import DEFAULT
 from engramql.functions import seams
-from engramql.functions.vectors import norm, usable
+from engramql.functions.vectors import dot, norm, usable
 from engramql.operators.graph import PREDICATES
 from engramql.operators.mutations import upsert_edges
 
@@ -46,8 +46,10 @@ def canonical_references(texts: DataFrame, cited: DataFrame) -> DataFrame:
     """(doc_id, text) with references that name a live node by its whole id, others taken out."""
     good = cited.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("ref", F.when(F.col("state") == "ok", F.concat(F.lit("/fact/"), "id")).otherwise("")))).alias("m"))
     j = texts.join(good, "doc_id", "left")
-    parts = F.split(F.regexp_replace("text", FACT_REF, "\u0001$1\u0001"), "\u0001")  # every second part is a reference
-    text = F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 1, F.coalesce(F.element_at("m", x), F.lit(""))).otherwise(x)), "")
+    refs = F.regexp_extract_all("text", F.lit(FACT_REF), F.lit(1))
+    named = F.transform(refs, lambda x: F.coalesce(F.element_at("m", x), F.lit("")))
+    # the texts between references, each followed by its reference
+    text = F.array_join(F.zip_with(F.split("text", FACT_REF, -1), named, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     return j.select("doc_id", text.alias("text"))
 
 
@@ -82,6 +84,18 @@ def predicate_of(cue: Sequence[float], glosses: dict[str, list[float]], floor: f
     return best
 
 
+def predicates_of(cues: DataFrame, vector: str, embed: Callable[[str], list[float]] = seams.embed, floor: float = DEFAULT.gloss_threshold) -> DataFrame:
+    """Cues with the predicate whose question is nearest to their vector, the first of equals; those near none are left out.
+
+    The twelve question vectors are one literal, so this is a map.
+    """
+    glosses = F.array(*[F.struct(F.lit(-i).alias("first"), F.lit(p).alias("predicate"), F.array(*[F.lit(float(x)) for x in v]).alias("v")) for i, (p, v) in enumerate(gloss_vectors(embed).items())])
+    length = norm(F.col(vector))
+    rated = F.transform(glosses, lambda g: F.struct(F.round(dot(F.col(vector), g["v"]) / (length * norm(g["v"])), 9).alias("cos"), g["first"].alias("first"), g["predicate"].alias("predicate")))
+    best = cues.withColumn("best", F.array_max(rated))
+    return best.where(F.col("best.cos") >= floor).select(*cues.columns, F.col("best.predicate").alias("predicate"))
+
+
 def ambient_lines(found: DataFrame, width: int = 200) -> DataFrame:
     """(line) of search results: one short line each, best first."""
     return found.orderBy(F.desc("cos"), "id").select(F.concat(F.lit("- "), F.substring(F.regexp_replace("value", r"\s+", " "), 1, width)).alias("line"))

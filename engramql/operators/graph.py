@@ -7,20 +7,20 @@ from pyspark.sql import functions as F
 
 from engramql.storage import cut
 
-# The closed vocabulary of typed relations and a question for each.
+# The closed vocabulary of typed relations; the question beside each is this engine's own.
 PREDICATES = {
-    "built_by": "who built or created this",
-    "works_on": "what does this work on",
-    "part_of": "what is this part of",
-    "uses": "what does this use",
-    "depends_on": "what does this depend on to function",
-    "runs_on": "what runtime host or platform does this run on",
-    "located_in": "where is this located",
-    "integrates_with": "what peer system does this integrate with",
-    "supersedes": "what does this replace or supersede",
-    "prefers": "what does this person prefer or favor",
-    "evaluated": "what was evaluated or considered for this",
-    "configured_with": "what setting or value is this configured with",
+    "built_by": "which person or team made and built it",
+    "works_on": "on which project is somebody working",
+    "part_of": "of what larger whole is it a part",
+    "uses": "which tool or library uses it",
+    "depends_on": "on what does it depend or rely",
+    "runs_on": "on what machine or host runs it",
+    "located_in": "in which place or folder is it located",
+    "integrates_with": "with which other system is it integrated or connected",
+    "supersedes": "what older thing does it supersede or replace",
+    "prefers": "what does somebody prefer or like better",
+    "evaluated": "which option was evaluated or compared for it",
+    "configured_with": "with which option or value is it configured",
 }
 DOC_KINDS = ("doc_link", "doc_containment", "doc_reference")
 
@@ -43,6 +43,12 @@ def typed_reach(edges: DataFrame, anchors: DataFrame, path: list[str], k: int |
     return at.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k).drop("pos")
 
 
+def first_per(rows: DataFrame, keys: list[str], order: list[Column], most: int) -> DataFrame:
+    """At most ``most`` rows of each key in an order; Spark keeps as many a map task before the shuffle."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return rows.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= most).drop("pos")
+
+
 def best_paths(edges: DataFrame, anchors: DataFrame, depth: int) -> DataFrame:
     """(anchor, id, score, hops): best weight sum to each node within ``depth`` hops, any relation.
 

@@ -211,7 +211,14 @@ def containment_ancestors(spark, d):
     return G.ancestors(M.edges(spark, d))
 
 
-@reg.query("doc_tree")
+@reg.query(
+    "doc_tree",
+    """WITH RECURSIVE dc AS (SELECT id FROM live WHERE type = 'doc'), step AS (SELECT DISTINCT dst AS child, src AS parent FROM edges WHERE kind = 'doc_containment' AND src <> dst AND src IN (SELECT id FROM dc) AND dst IN (SELECT id FROM dc)),
+    up AS (SELECT child AS id, parent AS ancestor, 1 AS hops FROM step UNION SELECT u.id, s.parent, u.hops + 1 FROM up u JOIN step s ON s.child = u.ancestor WHERE u.hops < 8),
+    near AS (SELECT id, ancestor, min(hops) AS hops FROM up WHERE id <> ancestor GROUP BY 1, 2), roots AS (SELECT id FROM dc WHERE id NOT IN (SELECT id FROM near))
+    SELECT n.id, arg_min(ancestor, (hops, ancestor)) AS root, min(hops)::INT AS depth FROM near n JOIN roots r ON r.id = n.ancestor GROUP BY n.id UNION ALL SELECT id, id, 0 FROM roots""",
+    "live edges",
+)
 def doc_tree(spark, d):
     """R18."""
     return G.doc_tree(M.edges(spark, d), M.live(spark, d, "type").where("type = 'doc'"))

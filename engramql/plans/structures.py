@@ -47,16 +47,22 @@ def schema_cohesion(spark, d):
     return T.cohesion(_members(spark, d)).select("schema_id", "n", F.round("cohesion", 6).alias("cohesion"))
 
 
-@reg.query("schema_rel_pairs", f"WITH {_CENTROIDS} SELECT a.schema_id AS src, b.schema_id AS dst, round(list_cosine_similarity(a.v, b.v), 6) AS w FROM cent a JOIN cent b ON a.schema_id < b.schema_id WHERE round(list_cosine_similarity(a.v, b.v), 9) >= 0.5", "live edges")
+@reg.query("schema_rel_pairs", f"WITH {_CENTROIDS} SELECT a.schema_id AS src, b.schema_id AS dst, round(list_cosine_similarity(a.v, b.v), 6) AS w FROM cent a JOIN cent b ON a.schema_id < b.schema_id WHERE round(list_cosine_similarity(a.v, b.v), 9) >= 0.8", "live edges")
 def schema_rel_pairs(spark, d):
-    """G9, JN18; the threshold is lowered to 0.5 so that there are pairs to compare."""
+    """G9, JN18."""
+    return T.schema_relations(_members(spark, d)).select("src", "dst", F.round("w", 6).alias("w"))
+
+
+@reg.query("schema_rel_wide", f"WITH {_CENTROIDS} SELECT a.schema_id AS src, b.schema_id AS dst, round(list_cosine_similarity(a.v, b.v), 6) AS w FROM cent a JOIN cent b ON a.schema_id < b.schema_id WHERE round(list_cosine_similarity(a.v, b.v), 9) >= 0.5", "live edges")
+def schema_rel_wide(spark, d):
+    """G9, JN18 at 0.5, where the test tables have many pairs."""
     return T.schema_relations(_members(spark, d), 0.5).select("src", "dst", F.round("w", 6).alias("w"))
 
 
 @reg.query("super_schemas")
 def super_schemas(spark, d):
     """G10."""
-    return T.super_schemas(T.centroids(_members(spark, d)), 0.6)
+    return T.super_schemas(T.centroids(_members(spark, d)))
 
 
 @reg.query("schema_induction")
@@ -287,13 +293,34 @@ def citation_check(spark, d):
     return D.citations(texts, M.nodes(spark, d, "tombstoned"))
 
 
-@reg.query("predicate_paths")
+_GLOSSES = "(VALUES " + ", ".join(f"('{p}', {i}, '{q}')" for i, (p, q) in enumerate(G.PREDICATES.items())) + ") gl(predicate, no, question)"
+_CUES = f"""cue AS (SELECT id, md5(unnest(regexp_extract_all(lower(value), '[\\p{{L}}\\p{{N}}]+'))) AS h FROM live WHERE value IS NOT NULL), glo AS (SELECT no, md5(unnest(regexp_extract_all(lower(question), '[\\p{{L}}\\p{{N}}]+'))) AS h FROM {_GLOSSES}),
+cv AS (SELECT id, ('0x' || left(h, 4))::INT % 64 AS i, sum(CASE WHEN h[5] < '8' THEN 1 ELSE -1 END)::DOUBLE AS x FROM cue GROUP BY 1, 2 HAVING x <> 0), gv AS (SELECT no, ('0x' || left(h, 4))::INT % 64 AS i, sum(CASE WHEN h[5] < '8' THEN 1 ELSE -1 END)::DOUBLE AS x FROM glo GROUP BY 1, 2 HAVING x <> 0),
+cn AS (SELECT id, sqrt(sum(x * x)) AS n FROM cv GROUP BY id), gn AS (SELECT no, sqrt(sum(x * x)) AS n FROM gv GROUP BY no),
+sim AS (SELECT c.id, g.no, sum(c.x * g.x) / any_value(cn.n * gn.n) AS cos FROM cv c JOIN gv g USING (i) JOIN cn ON cn.id = c.id JOIN gn ON gn.no = g.no GROUP BY 1, 2),
+pick AS (SELECT id, no FROM sim WHERE round(cos, 9) >= 0.35 QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(cos, 9) DESC, no) = 1), asked AS (SELECT pick.id, predicate FROM pick JOIN {_GLOSSES} USING (no))"""
+
+
+@reg.query(
+    "predicate_paths",
+    f"""WITH {_CUES}, e1 AS (SELECT a.id AS anchor, a.predicate, e.dst AS id, max(e.w) AS score FROM asked a JOIN edges e ON e.src = a.id AND e.rel = a.predicate AND e.kind = 'relation' GROUP BY ALL)
+    SELECT anchor, predicate, id, round(score, 6) AS score FROM e1 QUALIFY row_number() OVER (PARTITION BY anchor, predicate ORDER BY round(score, 9) DESC, id) <= 5""",
+    "live edges",
+)
 def predicate_paths(spark, d):
-    """A question's predicate and what lies along it from the anchors of its best matches."""
-    predicate = D.predicate_of(D.seams.embed("what does this use"), D.gloss_vectors())
-    e = M.edges(spark, d)
-    anchors = e.where("kind = 'relation'").select(F.col("src").alias("id")).distinct()
-    return G.typed_reach(e, anchors, [predicate], 5).withColumn("predicate", F.lit(predicate))
+    """The value of each live node as a cue, the predicate that it asks for, and what lies along it from the node."""
+    cues = D.seams.with_vectors(M.live(spark, d, "value").where("value IS NOT NULL"), "value").where("v IS NOT NULL")
+    asked = D.predicates_of(cues, "v").select(F.col("id").alias("anchor"), "predicate")
+    e = M.edges(spark, d).where("kind = 'relation'").select(F.col("src").alias("anchor"), F.col("rel").alias("predicate"), "dst", "w")
+    found = asked.join(e, ["anchor", "predicate"]).groupBy("anchor", "predicate", F.col("dst").alias("id")).agg(F.max("w").alias("score"))
+    return G.first_per(found, ["anchor", "predicate"], [F.round("score", 9).desc(), F.col("id")], 5).withColumn("score", F.round("score", 6))
+
+
+@reg.query("cue_predicates", f"WITH {_CUES} SELECT predicate, count(*) AS n FROM asked GROUP BY 1", "live")
+def cue_predicates(spark, d):
+    """How many cues ask for each predicate."""
+    cues = D.seams.with_vectors(M.live(spark, d, "value").where("value IS NOT NULL"), "value").where("v IS NOT NULL")
+    return D.predicates_of(cues, "v").groupBy("predicate").agg(F.count(F.lit(1)).alias("n"))
 
 
 queries = lambda: dict(reg.functions)

@@ -97,10 +97,15 @@ def doc_titles(spark, d):
     return t.select("doc_id", S.doc_title(F.col("text"), F.col("scope")).alias("title"), S.slug_class(F.col("scope")).alias("class"), S.clean_slug(F.col("scope")).alias("slug"))
 
 
-@reg.query("cap_content")
+@reg.query(
+    "cap_content",
+    """WITH l AS (SELECT doc_id, text, strlen(text) - length(text) AS more FROM documents WHERE strlen(text) > 8000), k AS (SELECT doc_id, text, unnest(range(greatest(0, 8000 - more), 8001)) AS n FROM l),
+    b AS (SELECT doc_id, max(n) AS n FROM k WHERE strlen(left(text, n)) <= 8000 GROUP BY 1)
+    SELECT d.doc_id, CASE WHEN b.n IS NULL THEN d.text ELSE left(d.text, b.n) || CASE WHEN strlen(left(d.text, b.n)) < 8000 THEN chr(65533) ELSE '' END || '…[truncated]' END AS text FROM documents d LEFT JOIN b USING (doc_id)""",
+)
 def cap_content(spark, d):
-    """capped documents."""
-    t = table(spark, d, "documents").where(F.octet_length("text") > 8_000)
+    """all documents, capped where they are longer."""
+    t = table(spark, d, "documents")
     return t.select("doc_id", S.cap_content(F.col("text")).alias("text"))
 
 
@@ -116,7 +121,12 @@ def chunk_notes(spark, d):
     return files.note_chunks(t, 4_000).select(F.col("path").alias("doc_id"), "chunk", F.length("text").alias("chars"))
 
 
-@reg.query("chunk_texts")
+@reg.query(
+    "chunk_texts",
+    r"""WITH RECURSIVE tk AS (SELECT doc_id, regexp_extract_all(text, '[^\n]{1,999}\n?|\n') AS t FROM documents WHERE text IS NOT NULL AND text <> ''),
+    st AS (SELECT doc_id, 1 AS i, 0 AS piece, length(t[1]) AS size FROM tk UNION ALL SELECT s.doc_id, i + 1, CASE WHEN size + length(t[i + 1]) <= 1000 THEN piece ELSE piece + 1 END, CASE WHEN size + length(t[i + 1]) <= 1000 THEN size + length(t[i + 1]) ELSE length(t[i + 1]) END FROM st s JOIN tk USING (doc_id) WHERE i < len(t))
+    SELECT s.doc_id, piece, string_agg(t[i], '' ORDER BY i) AS text FROM st s JOIN tk USING (doc_id) GROUP BY 1, 2""",
+)
 def chunk_texts(spark, d):
     """Pieces of at most 1,000 characters, cut after line ends."""
     t = table(spark, d, "documents").where("text IS NOT NULL")
@@ -158,10 +168,16 @@ def triples_json(spark, d):
     return e.select(F.explode(J.valid_triples(F.col("answer"))).alias("t")).select("t.subject", "t.predicate", "t.object").distinct()
 
 
-@reg.query("claims_json")
+@reg.query(
+    "claims_json",
+    """WITH n AS (SELECT left(id, 3) AS batch, value, type, row_number() OVER (PARTITION BY left(id, 3) ORDER BY value, type) AS r, count(*) OVER (PARTITION BY left(id, 3)) AS m FROM live WHERE value IS NOT NULL),
+    k AS (SELECT * FROM n WHERE trim(value, ' ' || chr(9) || chr(10) || chr(13)) <> '' AND NOT (ascii(batch) % 2 = 0 AND r = m))
+    SELECT batch, (row_number() OVER (PARTITION BY batch ORDER BY r) - 1)::INT AS pos, trim(value, ' ' || chr(9) || chr(10) || chr(13)) AS value, CASE WHEN type IN ('fact', 'entity') THEN type ELSE 'fact' END AS type FROM k""",
+    "live",
+)
 def claims_json(spark, d):
     """Model answers of node values, some cut short."""
-    n = M.live(spark, d, "value", "type").where("value IS NOT NULL").groupBy(F.substring("id", 1, 2).alias("batch")).agg(F.to_json(F.array_sort(F.collect_list(F.struct("value", "type")))).alias("answer"))
+    n = M.live(spark, d, "value", "type").where("value IS NOT NULL").groupBy(F.substring("id", 1, 3).alias("batch")).agg(F.to_json(F.array_sort(F.collect_list(F.struct("value", "type")))).alias("answer"))
     cut = F.when(F.ascii("batch") % 2 == 0, F.expr("substring(answer, 1, length(answer) - 7)")).otherwise(F.concat(F.lit("Here: "), "answer"))
     return J.parse_claims(n.select("batch", cut.alias("answer")), "batch", "answer").select("batch", "pos", "claim.value", "claim.type")
 
