@@ -12,7 +12,7 @@ PREDICATES = {
     "built_by": "which person or team made and built it",
     "works_on": "on which project is somebody working",
     "part_of": "of what larger whole is it a part",
-    "uses": "which tool or library uses it",
+    "uses": "what does it use as a tool or library",
     "depends_on": "on what does it depend or rely",
     "runs_on": "on what machine or host runs it",
     "located_in": "in which place or folder is it located",
