@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from engramql.llm.tokens import Encoder, encoder, split_words, vocabulary_path
+from engramql.llm.tokens import Encoder, encoder, shipped, split_words
 
 LIMIT, OVERLAP = 512, 32
 #: A cut is looked for within this part of the tokens on each side of the middle.
@@ -98,10 +98,9 @@ def pieces(text: str, coder: Encoder, limit: int = LIMIT, overlap: int = OVERLAP
     at, before, strength = cut_points(text, coder)
     if before[-1] <= limit:
         return []
-    most = limit - overlap
+    cuts = bisect(before, strength, limit - overlap)
     while True:
-        cuts = bisect(before, strength, most)
-        out, ok = [], True
+        out, over = [], []
         for i in range(len(cuts) - 1):
             lo, hi = cuts[i], cuts[i + 1]
             first = lo
@@ -117,21 +116,23 @@ def pieces(text: str, coder: Encoder, limit: int = LIMIT, overlap: int = OVERLAP
             else:
                 tokens = coder.count(text[at[first] : at[hi]])
             if tokens > limit and hi - lo > 1:
-                ok = False
+                over.append((lo, hi))
             out.append((int(at[first]), int(at[lo]), int(at[hi]), tokens))
-        if ok or most <= 1:
+        if not over:
             return out
-        most = max(1, most * 9 // 10)  # cuts inside words gave a piece more tokens than it had in the text
+        # cuts inside words gave these pieces more tokens than they had in the text: they alone are halved once more
+        halves = [lo + x for lo, hi in over for x in bisect(before[lo : hi + 1], strength[lo : hi + 1], int(before[hi] - before[lo]) - 1)]
+        cuts = sorted({*cuts, *halves})
 
 
 def split_documents(documents: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, path: str | None = None) -> DataFrame:
     """(doc_id, piece, start, own_start, end, tokens, text) of the texts above the limit; a map without a shuffle."""
-    path = path or vocabulary_path()
+    name = shipped(documents, path)
     schema = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, piece int, start bigint, own_start bigint, end bigint, tokens bigint, text string"
     names = ["doc_id", "piece", "start", "own_start", "end", "tokens", "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path)
+        coder = encoder(name)
         for b in batches:
             for low in range(0, b.num_rows, 500):
                 part = b.slice(low, 500)

@@ -27,10 +27,11 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Folder of the public vocabulary files; never copied into the repository.
+#: Folder of the public vocabulary files on the driver, which ships them to the workers; never copied into the repository.
 TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
 #: The vocabulary's word pattern (a fixed value of the public tokenizer).
@@ -220,17 +221,24 @@ class EncodedText:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder for a vocabulary file, loaded once a process."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(name: str) -> Encoder:
+    """The worker's encoder for a vocabulary file (a path, or the name of a shipped file), loaded once a process."""
+    if name not in _encoders:
+        _encoders[name] = Encoder(name if os.path.dirname(name) else SparkFiles.get(name))
+    return _encoders[name]
 
 
 def vocabulary_path(name: str = DEFAULT_VOCABULARY, folder: str | None = None) -> str:
     return os.path.join(folder or TOKENIZER_DIR, name)
 
 
+def shipped(df: DataFrame, path: str | None = None) -> str:
+    """The name under which Spark sends the driver's vocabulary file to every worker, those started later included."""
+    path = os.path.realpath(path or vocabulary_path())
+    df.sparkSession.sparkContext.addFile(f"file://{path}")
+    return os.path.basename(path)
+
+
 def id_lists(ids: Iterable[list[int]]) -> pa.Array:
     flat, offsets = [], [0]
     for x in ids:
@@ -241,10 +249,10 @@ def id_lists(ids: Iterable[list[int]]) -> pa.Array:
 
 def encode_texts(documents: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids): the ids of each text; a map over the rows, without a shuffle."""
-    path = path or vocabulary_path()
+    name = shipped(documents, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        encode = encoder(name).encode
         for b in batches:
             for part in (b.slice(i, 1000) for i in range(0, b.num_rows, 1000)):
                 yield pa.RecordBatch.from_arrays([part.column(0), id_lists(encode(t) for t in part.column(1).to_pylist())], names=[key, "ids"])
@@ -254,10 +262,10 @@ def encode_texts(documents: DataFrame, path: str | None = None, key: str = "doc_
 
 def count_tokens(documents: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n): the number of tokens of each text; null and empty texts have 0."""
-    path = path or vocabulary_path()
+    name = shipped(documents, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = encoder(path).count
+        count = encoder(name).count
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([count(t) for t in b.column(1).to_pylist()], pa.int64())], names=[key, "n"])
 
