@@ -73,10 +73,13 @@ class Memory:
             for b in batches:
                 rows = []
                 for r in b.itertuples(index=False):
-                    rows += [(f"{r.id}:{i}", r.id, c.value, [float(x) for x in embed(c.value)]) for i, c in enumerate(extract(r.content))]
-                yield pd.DataFrame(rows, columns=["id", "episode_id", "value", "embedding"])
+                    try:
+                        rows += [(f"{r.id}:{i}", r.id, c.value, [float(x) for x in embed(c.value)], None) for i, c in enumerate(extract(r.content))]
+                    except Exception as e:  # noqa: BLE001 - one bad episode must not stop the pass
+                        rows.append((f"{r.id}:error", r.id, None, None, str(e)[:500]))
+                yield pd.DataFrame(rows, columns=["id", "episode_id", "value", "embedding", "error"])
 
-        claims = episodes.select("id", "content").mapInPandas(run, "id string, episode_id string, value string, embedding array<float>")
+        claims = episodes.select("id", "content").mapInPandas(run, "id string, episode_id string, value string, embedding array<float>, error string")
         about = episodes.select(F.col("id").alias("episode_id"), "origin", "role", "session_id", "hard_keep", "salience", "ts")
         return claims.join(about, "episode_id")
 
@@ -97,7 +100,10 @@ class Memory:
         waiting = episodes.where(~F.col("consolidated"))
         gate = (F.col("salience") >= S.skip_threshold(F.col("source"), F.col("role"), self.cfg)) | F.col("hard_keep")
         taken = waiting.where((F.col("origin") != "inferred") & gate)
-        claims = cut(self._claims(taken).withColumn("id", F.sha2("id", 256)), "claims")
+        read = cut(self._claims(taken).withColumn("id", F.sha2("id", 256)), "claims")
+        # an episode whose extraction failed stays open and is tried again in the next pass
+        failed = read.where("error IS NOT NULL").select(F.col("episode_id").alias("id")).distinct()
+        claims = read.where("error IS NULL").drop("error")
         nodes = self.nodes
         live = cut(self.live, "live")
         routes = belief.gated(claims, belief.nominate(claims, live, self.cfg.candidate_k), live, self.cfg)
@@ -122,9 +128,9 @@ class Memory:
         grown = decided.where("node_id IS NOT NULL").select("claim_id", F.col("node_id").alias("src")).join(applied.where("action = 'extend'").select("claim_id", F.col("node_id").alias("dst")), "claim_id")
         links = grown.select("src", "dst", F.lit("extends").alias("rel"), F.lit(0.1).alias("w"), F.lit(now_ms).cast("bigint").alias("last_access"), F.lit("relation").alias("kind"))
         # names are resolved against the nodes before this pass, so a triple never binds to what it just added
-        typed = lifecycle.triple_edges(self._triples(taken), live, now_ms)
+        typed = lifecycle.triple_edges(self._triples(taken.join(failed, "id", "left_anti")), live, now_ms)
         self.store.publish("edge", mutations.upsert_edges(self.edges, links.unionByName(typed.select(*links.columns))))
-        self.store.publish("episode", mutations.mark_consolidated(episodes, waiting))
+        self.store.publish("episode", mutations.mark_consolidated(episodes, waiting.join(failed, "id", "left_anti")))
         return {r.action: r.n for r in applied.groupBy("action").agg(F.count(F.lit(1)).alias("n")).collect()}
 
     def search(self, text: str, k: int | None = None) -> DataFrame:

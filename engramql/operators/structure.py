@@ -333,12 +333,24 @@ def insight_states(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return j.groupBy("id").agg(F.count("dst").alias("sources"), F.max(bad.cast("int")).alias("b")).select("id", "sources", ((F.col("sources") == 0) | (F.col("b") == 1)).alias("stale"))
 
 
-def subject_pairs(members: DataFrame, most: int = 7, name_weight: float = 0.5) -> DataFrame:
+def adjacent_subjects(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """(a, b), a < b: subjects whose schemas are related or lie below one parent."""
+    own = members.select(F.col("schema_id").alias("s")).distinct()
+    related = edges.where("kind = 'schema_rel'").select(F.col("src").alias("x"), F.col("dst").alias("y"))
+    up = edges.where("kind = 'abstracts' AND src <> dst").select(F.col("src").alias("parent"), F.col("dst").alias("s")).join(own, "s", "left_semi").distinct()
+    below = up.alias("p").join(up.alias("q"), (F.col("p.parent") == F.col("q.parent")) & (F.col("p.s") < F.col("q.s"))).select(F.col("p.s").alias("x"), F.col("q.s").alias("y"))
+    pairs = related.unionByName(below).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return pairs.join(own.withColumnRenamed("s", "a"), "a", "left_semi").join(own.withColumnRenamed("s", "b"), "b", "left_semi")
+
+
+def subject_pairs(members: DataFrame, adjacent: DataFrame | None = None, most: int = 7, name_weight: float = 0.5, bonus: float = 0.3) -> DataFrame:
     """(a, b, score): related subjects by shared members and shared entity names, rarer ones count more.
 
     Pairs come from equi-joins on member and name.  Members of one subject
-    alone, and names in half of the subjects or more (weight 0), are dropped
-    before the join.  A pair stays if it is among the best of either end.
+    alone, members of all and names in half of the subjects or more (weight 0)
+    are dropped before the join.  Adjacent subjects score ``bonus`` more, with
+    or without anything shared.  A pair stays if it is among the best of either
+    end.
     """
     subjects = members.select(F.col("schema_id").alias("s")).distinct().agg(F.count(F.lit(1)).cast("double").alias("total"))
 
@@ -346,7 +358,7 @@ def subject_pairs(members: DataFrame, most: int = 7, name_weight: float = 0.5) -
         df = rows.groupBy("k").agg(F.count(F.lit(1)).alias("df")).where("df > 1").join(F.broadcast(subjects))  # one row
         idf = F.log(F.col("total") / F.col("df"))
         kept = df.where(F.col("df") < F.col("total") / 2) if zero_half else df
-        return rows.join(kept.select("k", idf.alias("idf")), "k")
+        return rows.join(kept.select("k", idf.alias("idf")).where("idf > 0"), "k")
 
     shared = weighted(members.select(F.col("schema_id").alias("s"), F.col("id").alias("k")).distinct(), False)
     names = members.where("type = 'entity' AND value IS NOT NULL").select(F.col("schema_id").alias("s"), S.normalize_value(F.col("value")).alias("k")).where("k <> ''").distinct()
@@ -357,7 +369,10 @@ def subject_pairs(members: DataFrame, most: int = 7, name_weight: float = 0.5) -
         j = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.s") < F.col("y.s")))
         return j.select(F.col("x.s").alias("a"), F.col("y.s").alias("b"), F.col("x.idf").alias("part"))
 
-    scored = pairs(shared).unionByName(pairs(named)).groupBy("a", "b").agg(F.sum("part").alias("score")).where(F.round("score", 9) > 0)
+    parts = pairs(shared).unionByName(pairs(named))
+    if adjacent is not None:
+        parts = parts.unionByName(adjacent.select("a", "b", F.lit(bonus).alias("part")))
+    scored = parts.groupBy("a", "b").agg(F.sum("part").alias("score")).where(F.round("score", 9) > 0)
     ends = scored.select("a", "b", "score", F.explode(F.array("a", "b")).alias("end"), F.lit(1).alias("one"))
     w = Window.partitionBy("end").orderBy(F.round("score", 9).desc(), "a", "b")
     return ends.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= most).select("a", "b", "score").distinct()

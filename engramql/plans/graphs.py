@@ -11,6 +11,7 @@ from engramql.operators import graph as G
 from engramql.operators import provenance as P
 from engramql.plans import model as M
 from engramql.plans.registry import Registry
+from engramql.sources import ingest
 from engramql.storage import table
 
 reg = Registry()
@@ -127,6 +128,23 @@ def calendar_cancellations(spark, d):
     return P.cancelled_nodes(live, source, e.where("status = 'cancelled'").select(F.col("id").alias("source_event_id"))).distinct()
 
 
+_PULL = """z AS (SELECT median(epoch_us(landed_at)) AS m FROM raw_calendar_event), st AS (SELECT account_id, id, max(status) AS was FROM raw_calendar_event, z WHERE id IS NOT NULL AND account_id IS NOT NULL AND epoch_us(landed_at) < m GROUP BY 1, 2), pu AS (SELECT account_id, id, max(status) AS status FROM raw_calendar_event, z WHERE id IS NOT NULL AND account_id IS NOT NULL AND epoch_us(landed_at) >= m GROUP BY 1, 2)"""
+
+
+@reg.query(
+    "calendar_resync",
+    f"""WITH {_PULL}, o AS (SELECT p.account_id, p.id, p.status, CASE WHEN s.id IS NULL AND NOT coalesce(status = 'cancelled', false) THEN 'new' WHEN status = 'cancelled' AND s.id IS NOT NULL AND NOT coalesce(was = 'cancelled', false) THEN 'cancelled'
+      WHEN s.id IS NOT NULL AND status IS DISTINCT FROM was AND NOT coalesce(status = 'cancelled', false) THEN 'changed' END AS change FROM pu p LEFT JOIN st s ON s.account_id = p.account_id AND s.id = p.id)
+    SELECT * FROM o WHERE change IS NOT NULL UNION ALL SELECT s.account_id, s.id, 'cancelled', 'cancelled' FROM st s LEFT JOIN pu p ON p.account_id = s.account_id AND p.id = s.id WHERE p.id IS NULL AND NOT coalesce(was = 'cancelled', false) AND s.account_id IN (SELECT account_id FROM pu)""",
+)
+def calendar_resync(spark, d):
+    """S7, ST9: the later half of the delivered records as a whole pull after the token expired, against the earlier half."""
+    raw = table(spark, d, "raw_calendar_event").where("account_id IS NOT NULL").withColumn("us", F.unix_micros(F.col("landed_at").cast("timestamp")))
+    middle = F.broadcast(table(spark, d, "raw_calendar_event").agg(F.median(F.unix_micros(F.col("landed_at").cast("timestamp"))).alias("m")))  # one row
+    half = raw.join(middle).select("account_id", "id", "status", (F.col("us") < F.col("m")).alias("early"))
+    return ingest.pulled_events(half.where("early"), half.where("NOT early"), True)
+
+
 _HOP = "edges WHERE kind = 'relation' AND rel"
 
 

@@ -168,9 +168,11 @@ def edge_rewire(spark, d):
 @reg.query(
     "idf_pairs",
     f"""WITH {_MEMBERS}, tot AS (SELECT count(DISTINCT schema_id)::DOUBLE AS total FROM members), sh AS (SELECT DISTINCT schema_id AS s, id AS k FROM members),
+    par AS (SELECT DISTINCT src AS parent, dst AS s FROM edges WHERE kind = 'abstracts' AND src <> dst), adj AS (SELECT DISTINCT least(x, y) AS a, greatest(x, y) AS b FROM (SELECT src AS x, dst AS y FROM edges WHERE kind = 'schema_rel' UNION ALL SELECT p.s, q.s FROM par p JOIN par q ON p.parent = q.parent AND p.s < q.s)
+      WHERE x <> y AND x IN (SELECT schema_id FROM members) AND y IN (SELECT schema_id FROM members)),
     nm AS (SELECT DISTINCT schema_id AS s, {_NORM} AS k FROM members WHERE type = 'entity' AND value IS NOT NULL),
     w1 AS (SELECT k, ln(total / count(*)) AS idf FROM sh, tot GROUP BY k, total), w2 AS (SELECT k, 0.5 * ln(total / count(*)) AS idf FROM nm, tot WHERE k <> '' GROUP BY k, total HAVING count(*) < total / 2),
-    p AS (SELECT x.s AS a, y.s AS b, idf FROM sh x JOIN sh y ON x.k = y.k AND x.s < y.s JOIN w1 ON w1.k = x.k UNION ALL SELECT x.s, y.s, idf FROM nm x JOIN nm y ON x.k = y.k AND x.s < y.s JOIN w2 ON w2.k = x.k),
+    p AS (SELECT x.s AS a, y.s AS b, idf FROM sh x JOIN sh y ON x.k = y.k AND x.s < y.s JOIN w1 ON w1.k = x.k UNION ALL SELECT x.s, y.s, idf FROM nm x JOIN nm y ON x.k = y.k AND x.s < y.s JOIN w2 ON w2.k = x.k UNION ALL SELECT a, b, 0.3 FROM adj),
     sc AS (SELECT a, b, sum(idf) AS score FROM p GROUP BY 1, 2 HAVING round(sum(idf), 9) > 0),
     e AS (SELECT a, b, score, unnest([a, b]) AS e FROM sc), r AS (SELECT *, row_number() OVER (PARTITION BY e ORDER BY round(score, 9) DESC, a, b) AS pos FROM e)
     SELECT DISTINCT a, b, round(score, 6) AS score FROM r WHERE pos <= 7""",
@@ -178,7 +180,8 @@ def edge_rewire(spark, d):
 )
 def idf_pairs(spark, d):
     """JN20, A11, R16, G13."""
-    return T.subject_pairs(_members(spark, d)).select("a", "b", F.round("score", 6).alias("score")).distinct()
+    m = _members(spark, d)
+    return T.subject_pairs(m, T.adjacent_subjects(M.edges(spark, d), m)).select("a", "b", F.round("score", 6).alias("score")).distinct()
 
 
 @reg.query(

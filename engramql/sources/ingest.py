@@ -69,3 +69,33 @@ def calendar_records(events: DataFrame, starts: DataFrame) -> DataFrame:
     return events.join(starts, "raw_id").select(
         F.concat_ws("/", "account_id", "id").alias("external_id"), F.lit("gcal").alias("source"), F.col("start_ms").alias("ts"), text.alias("content"), F.lit("observed").alias("origin"), F.col("id").alias("session_id")
     )
+
+
+def after_cursor(records: DataFrame, column: str, cursor: int | None) -> tuple[DataFrame, Column]:
+    """(records beyond the cursor, the next cursor as an aggregate): an incremental pull of a mailbox.
+
+    The caller stores the next cursor after the append, so a lost run repeats
+    and the idempotent append drops what came through.
+    """
+    fresh = records if cursor is None else records.where(F.col(column) > cursor)
+    return fresh, F.coalesce(F.max(column), F.lit(cursor))
+
+
+def pulled_events(stored: DataFrame, pulled: DataFrame, full: bool) -> DataFrame:
+    """(account_id, id, status, change) of a calendar pull against what is stored; both have account_id, id, status.
+
+    An incremental pull changes what it names.  Once the token has expired the
+    pull is whole: stored events of the pulled accounts that it lacks are gone
+    ('cancelled').  change: 'new', 'changed' or 'cancelled'; what is equal is
+    left out.
+    """
+    p = pulled.groupBy("account_id", "id").agg(F.max("status").alias("status")).where("id IS NOT NULL")
+    s = stored.groupBy("account_id", "id").agg(F.max("status").alias("was"), F.lit(True).alias("had")).where("id IS NOT NULL")
+    j = p.join(s, ["account_id", "id"], "left")
+    dead = F.col("status") == "cancelled"
+    change = F.when(F.col("had").isNull() & ~F.coalesce(dead, F.lit(False)), "new").when(dead & F.col("had") & ~F.coalesce(F.col("was") == "cancelled", F.lit(False)), "cancelled").when(F.col("had") & ~F.col("status").eqNullSafe(F.col("was")) & ~F.coalesce(dead, F.lit(False)), "changed")
+    out = j.select("account_id", "id", "status", change.alias("change")).where("change IS NOT NULL")
+    if not full:
+        return out
+    gone = s.where("NOT coalesce(was = 'cancelled', false)").join(p.select("account_id").distinct(), "account_id", "left_semi").join(p.select("account_id", "id"), ["account_id", "id"], "left_anti")
+    return out.unionByName(gone.select("account_id", "id", F.lit("cancelled").alias("status"), F.lit("cancelled").alias("change")))

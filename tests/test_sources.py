@@ -166,3 +166,32 @@ def test_store_never_shows_a_part(spark, tmp_path):
     s.publish("t", spark.range(1))
     s.publish("t", spark.range(2))
     assert s.read("t").count() == 2 and len([p for p in os.listdir(tmp_path / "store" / "t") if p.startswith("part-")]) == 3  # the lost one too
+
+
+def test_pulls_and_cursors(spark):
+    schema = "account_id string, id string, status string"
+    stored = spark.createDataFrame([("a", "1", "confirmed"), ("a", "2", "confirmed"), ("a", "3", "cancelled"), ("b", "9", "confirmed"), ("a", "5", None)], schema)
+    pulled = spark.createDataFrame([("a", "1", "tentative"), ("a", "1", "tentative"), ("a", "4", "confirmed"), ("a", "6", "cancelled"), ("a", "5", None), ("a", None, "x")], schema)
+    some = {(r.id, r.change) for r in ingest.pulled_events(stored, pulled, False).collect()}
+    assert some == {("1", "changed"), ("4", "new")}
+    assert {(r.id, r.change) for r in ingest.pulled_events(stored, pulled, True).collect()} == some | {("2", "cancelled")}
+    mails = spark.createDataFrame([("x", 5), ("y", 7)], "id string, history bigint")
+    fresh, top = ingest.after_cursor(mails, "history", 5)
+    assert [r.id for r in fresh.collect()] == ["y"] and fresh.agg(top.alias("c")).first().c == 7
+    fresh, top = ingest.after_cursor(mails, "history", 7)
+    assert fresh.agg(top.alias("c")).first().c == 7 and ingest.after_cursor(mails, "history", None)[0].count() == 2
+
+
+def test_a_bad_episode_stays_open(spark, tmp_path):
+    from engramql.functions import seams
+
+    def extract(text):
+        if "poison" in text:
+            raise ValueError("no")
+        return seams.extract(text)
+
+    m = Memory(spark, f"file://{tmp_path}/m", extract=extract)
+    rows = [(f"Always remember {x} and the cache server port.", "user", x, 5, "claude-code") for x in ("poison", "water")]
+    m.add(spark.createDataFrame(rows, "content string, role string, session_id string, ts bigint, source string"), 5)
+    assert m.consolidate(6) == {"unrelated": 1}
+    assert {r.session_id: r.consolidated for r in m.episodes.collect()} == {"poison": False, "water": True}
