@@ -75,9 +75,21 @@ common AS (
   FROM flat a JOIN flat b ON a.rec_kind = b.rec_kind AND a.word = b.word AND a.id < b.id AND a.n * 10 >= b.n * 7 AND b.n * 10 >= a.n * 7
   GROUP BY ALL
 )
-SELECT rec_kind, a_id, b_id FROM common WHERE shared * 10 >= (na + nb - shared) * 7
 """
 
+_PAIRS = "SELECT rec_kind, a_id, b_id FROM common WHERE shared * 10 >= (na + nb - shared) * 7"
+
+_GROUPS = (
+    _WORDS.replace("WITH records", "WITH RECURSIVE records")
+    + f""", member AS (SELECT rec_kind, id, min(id) OVER (PARTITION BY rec_kind, list_sort(words)) AS class_id FROM kept), pairs AS ({_PAIRS}),
+link AS (SELECT DISTINCT p.rec_kind, c.class_id AS a, d.class_id AS b FROM (SELECT rec_kind, a_id, b_id FROM pairs UNION ALL SELECT rec_kind, b_id, a_id FROM pairs) p
+  JOIN member c ON c.rec_kind = p.rec_kind AND c.id = p.a_id JOIN member d ON d.rec_kind = p.rec_kind AND d.id = p.b_id WHERE c.class_id <> d.class_id),
+reach AS (SELECT rec_kind, a, b FROM link UNION SELECT r.rec_kind, r.a, l.b FROM reach r JOIN link l ON l.rec_kind = r.rec_kind AND l.a = r.b),
+grp AS (SELECT rec_kind, a, min(b) AS other FROM reach GROUP BY 1, 2), cnt AS (SELECT rec_kind, a, count(*) AS links FROM link GROUP BY 1, 2)
+SELECT m.rec_kind, m.id, m.class_id, least(m.class_id, coalesce(g.other, m.class_id)) AS group_id, coalesce(c.links, 0) AS links
+FROM member m LEFT JOIN grp g ON g.rec_kind = m.rec_kind AND g.a = m.class_id LEFT JOIN cnt c ON c.rec_kind = m.rec_kind AND c.a = m.class_id"""
+)
+
 _SESSIONS = r"""
 WITH rows AS (
   SELECT id, ts, source, external_id, lower(trim(session_id)) AS session_id, landed_at, content,
@@ -100,12 +112,17 @@ WITH rows AS (
 ), states AS (
   SELECT session_id, bool_or(bad) OR bool_or(headless) AS broken, bool_or(turn > 0 AND NOT answered) AS unanswered FROM turns GROUP BY session_id
 )
-SELECT * FROM (
+"""
+
+_REASONS = """SELECT * FROM (
   SELECT s.session_id, CASE WHEN t.session_id IS NULL THEN 'empty' WHEN broken THEN 'broken' WHEN unanswered THEN 'unanswered' END AS reason
   FROM (SELECT DISTINCT session_id FROM once) s LEFT JOIN states t ON t.session_id = s.session_id
 ) WHERE reason IS NOT NULL
 """
 
+_TURNS = """SELECT session_id, pos - 1 AS turn, id, ts, CASE rank WHEN 0 THEN 'user' WHEN 1 THEN 'tool' WHEN 2 THEN 'assistant' END AS role, content FROM kept
+WHERE session_id IN (SELECT session_id FROM states WHERE NOT coalesce(broken, false) AND NOT coalesce(unanswered, false))"""
+
 _VECTORS = r"""
 WITH last AS (SELECT * FROM node QUALIFY row_number() OVER (PARTITION BY id ORDER BY landed_at DESC) = 1),
 usable AS (
@@ -121,7 +138,6 @@ _CLUSTERS = (
 , pool AS (SELECT * FROM usable WHERE type IN ('fact', 'entity') AND coalesce(origin, '') <> 'inferred'),
 near AS (SELECT a.id, b.id AS other FROM pool a JOIN pool b ON a.type = b.type WHERE list_cosine_similarity(a.v, b.v) >= 0.75 OR a.id = b.id),
 grouped AS (SELECT id AS node_id, min(other) AS first_id, count(*) AS n FROM near GROUP BY id)
-SELECT first_id, node_id FROM grouped WHERE n >= 3
 """
 )
 
@@ -158,9 +174,14 @@ def queries():
 
 def oracle_sql():
     return {
-        "p1_found": _WORDS,
-        "p4_found": _SESSIONS,
-        "p6_found": _CLUSTERS,
+        "p1_found": _WORDS + _PAIRS,
+        "p1_groups": _GROUPS,
+        "p4_found": _SESSIONS + _REASONS,
+        "p4_turns": _SESSIONS + _TURNS,
+        "p6_found": _CLUSTERS + "SELECT first_id, node_id FROM grouped WHERE n >= 3",
+        "p6_clusters": _CLUSTERS
+        + """, sized AS (SELECT g.*, p.type, count(*) OVER (PARTITION BY first_id) AS size, row_number() OVER (PARTITION BY first_id ORDER BY n DESC, node_id) AS rank FROM grouped g JOIN pool p ON p.id = g.node_id WHERE n >= 3)
+SELECT first_id, min(type) AS type, max(size) AS size, string_agg(node_id, ' ' ORDER BY rank) FILTER (rank <= 3) AS typical FROM sized GROUP BY first_id""",
         "p7_found": _NEAREST + "SELECT DISTINCT least(probe_id, other_id) AS a_id, greatest(probe_id, other_id) AS b_id FROM ranked",
         "p7_ranked": _NEAREST + "SELECT probe_id, other_id, round(cos, 6) AS cos, rank::INT AS rank FROM ranked",
     }

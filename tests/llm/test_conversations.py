@@ -98,3 +98,9 @@ def test_empty(spark):
 def test_query_against_sql(spark, data):
     a, b, *_ = compare(spark, "p4_found", entry.queries()["p4_found"], entry.oracle_sql()["p4_found"], data)
     assert a == b
+
+
+@pytest.mark.parametrize("name", ["p4_turns", "p6_clusters", "p1_groups"])
+def test_tables_against_sql(spark, data, name):
+    a, b, *_ = compare(spark, name, entry.queries()[name], entry.oracle_sql()[name], data)
+    assert a == b
