@@ -236,31 +236,52 @@ def linked_groups(rows: DataFrame, threshold: float, dim: int = 64) -> DataFrame
     return components(blocks.select("block").repartition(count).mapInArrow(run, "a string, b string"))
 
 
-def induce_schemas(loose: DataFrame, known: list[np.ndarray], cfg: Settings = DEFAULT, dim: int = 64) -> DataFrame:
-    """(bucket, id): new schemas among nodes by greedy buckets in the order of ids.
+def joined_schemas(loose: DataFrame, known: DataFrame, least: float, dim: int = 64) -> DataFrame:
+    """(id, schema_id): loose nodes whose vector is at ``least`` or more to a known centroid, with the best of them.
 
-    Nodes near a known centroid join it (bucket 'known-<n>').  The others join,
-    in order of id, the first bucket whose running centroid is at the threshold
-    t, as one pass over all of them would.  A bucket of n members has a sum of
-    length n t at least, so who joins it is at t * t or more to one of its
-    members: rows in different components of the graph at t * t never share a
-    bucket, and components are read side by side.  A task keeps centroids only;
-    buckets need enough members and cohesion, which is decided per bucket
-    afterwards.
+    ``known`` has schema_id and centroid.  Centroids are written once, in
+    blocks that each task reads one by one; the smallest id wins a tie.
     """
-    rows = loose.where(usable(F.col("embedding"), dim)).select("id", "embedding")
-    held = np.stack(known) if known else np.zeros((0, dim))
-    held = (held / np.linalg.norm(held, axis=1, keepdims=True)).astype(np.float32) if len(held) else held.astype(np.float32)
-    join, bucket_at = cfg.schema_join, cfg.schema_cohesion
+    count = max(1, -(-known.count() // BLOCK))
+    packed = known.withColumn("block", F.pmod(F.xxhash64("schema_id"), F.lit(count)).cast("int")).groupBy("block")
+    files = shared_files(cut(packed.agg(F.collect_list("schema_id").alias("ks"), F.flatten(F.collect_list("centroid")).alias("vs")), "centroids"))
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            u = unit(raw_matrix(b.column("embedding"), dim))
-            at = np.full(len(u), -1, dtype=np.int32)
-            if len(held) and len(u):
-                cos = u @ held.T
-                at = np.where(cos.max(1) >= join, cos.argmax(1), -1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(at), b.column("id"), b.column("embedding")], names=["known", "id", "embedding"])
+            u = raw_matrix(b.column("embedding"), dim).astype(np.float64)
+            u = u / np.linalg.norm(u, axis=1, keepdims=True)
+            best, name = np.full(len(u), -2.0), np.full(len(u), None, dtype=object)
+            for block in read_shared(files, ["ks", "vs"]):
+                ks = np.array(block.column("ks").flatten().to_pylist(), dtype=object)
+                m = block.column("vs").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                order = np.argsort(ks)
+                ks, m = ks[order], m[order]
+                length = np.linalg.norm(m, axis=1)
+                cos = np.round((u @ m.T) / np.where(length == 0, 1, length), 9)
+                at = cos.argmax(1)
+                top, who = cos[np.arange(len(u)), at], ks[at]
+                better = (top > best) | ((top == best) & np.array([x is None or w < x for w, x in zip(who, name)], dtype=bool))
+                best, name = np.where(better, top, best), np.where(better, who, name)
+            hit = np.flatnonzero(best >= least)
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(hit)), pa.array(name[hit], pa.string())], names=["id", "schema_id"])
+
+    return loose.where(usable(F.col("embedding"), dim)).select("id", "embedding").mapInArrow(run, "id string, schema_id string")
+
+
+def induce_schemas(loose: DataFrame, known: DataFrame | None = None, cfg: Settings = DEFAULT, dim: int = 64) -> DataFrame:
+    """(bucket, id): new schemas among nodes by greedy buckets in the order of ids.
+
+    Nodes near a known centroid (schema_id, centroid) join it (bucket
+    'known-<schema_id>').  The others join, in order of id, the first bucket
+    whose running centroid is at the threshold t, as one pass over all of them
+    would.  A bucket of n members has a sum of length n t at least, so who
+    joins it is at t * t or more to one of its members: rows in different
+    components of the graph at t * t never share a bucket, and components are
+    read side by side.  A task keeps centroids only; buckets need enough
+    members and cohesion, which is decided per bucket afterwards.
+    """
+    rows = loose.where(usable(F.col("embedding"), dim)).select("id", "embedding")
+    bucket_at = cfg.schema_cohesion
 
     def greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, n, sums, length = None, 0, np.zeros((1024, dim), dtype=np.float32), np.ones(1024, dtype=np.float32)
@@ -282,14 +303,16 @@ def induce_schemas(loose: DataFrame, known: list[np.ndarray], cfg: Settings = DE
                 names.append(f"{block}-{choice}")  # block is the smallest id of the component
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), b.column("id"), b.column("embedding")], names=["schema_id", "id", "embedding"])
 
-    placed = cut(rows.mapInArrow(place, "known int, id string, embedding array<float>"), "placed")
-    free = placed.where("known < 0").select("id", "embedding")
+    joined = cut(joined_schemas(rows, known, cfg.schema_join, dim), "joined") if known is not None else None
+    free = rows if joined is None else rows.join(joined.select("id"), "id", "left_anti")
+    free = cut(free, "free")
     groups = linked_groups(free, bucket_at * bucket_at - 1e-4, dim)
     blocks = free.join(groups, free.id == groups.v).select(F.col("label").alias("block"), "id", "embedding").repartition("block").sortWithinPartitions("block", "id")
     found = cut(blocks.mapInArrow(greedy, "schema_id string, id string, embedding array<float>"), "buckets")
     good = cohesion(found, dim).where((F.col("n") >= cfg.schema_support) & (F.col("cohesion") >= cfg.schema_cohesion)).select("schema_id")
     kept = found.join(good, "schema_id", "left_semi").select("schema_id", "id")
-    kept = kept.unionByName(placed.where("known >= 0").select(F.concat(F.lit("known-"), "known").alias("schema_id"), "id"))
+    if joined is not None:
+        kept = kept.unionByName(joined.select(F.concat(F.lit("known-"), "schema_id").alias("schema_id"), "id"))
     return kept.select(F.col("schema_id").alias("bucket"), "id").distinct()
 
 

@@ -67,10 +67,20 @@ def super_schemas(spark, d):
 
 @reg.query("schema_induction")
 def schema_induction(spark, d):
-    """G8."""
+    """Nodes outside any schema join the nearest one or form new ones."""
     live = M.live(spark, d, *COLUMNS)
-    loose = live.where("type IN ('fact', 'entity') AND coalesce(origin, '') <> 'inferred'")
-    return T.induce_schemas(loose, [])
+    members = T.schema_members(M.edges(spark, d), live)
+    loose = live.where("type IN ('fact', 'entity') AND coalesce(origin, '') <> 'inferred'").join(members.select("id").distinct(), "id", "left_anti")
+    return T.induce_schemas(loose, T.centroids(members).select("schema_id", "centroid"))
+
+
+@reg.query("schema_joins", f"WITH {_CENTROIDS}, loose AS (SELECT id, embedding::DOUBLE[] AS e FROM live WHERE type IN ('fact', 'entity') AND coalesce(origin, '') <> 'inferred' AND {_OK} AND id NOT IN (SELECT id FROM members)) SELECT l.id, c.schema_id FROM loose l, cent c WHERE round(list_cosine_similarity(l.e, c.v), 9) >= 0.75 QUALIFY row_number() OVER (PARTITION BY l.id ORDER BY round(list_cosine_similarity(l.e, c.v), 9) DESC, c.schema_id) = 1", "live edges")
+def schema_joins(spark, d):
+    """The first step alone."""
+    live = M.live(spark, d, *COLUMNS)
+    members = T.schema_members(M.edges(spark, d), live)
+    loose = live.where("type IN ('fact', 'entity') AND coalesce(origin, '') <> 'inferred'").join(members.select("id").distinct(), "id", "left_anti")
+    return T.joined_schemas(loose, T.centroids(members), T.DEFAULT.schema_join)
 
 
 @reg.query("schema_falsified", f"WITH {_MEMBERS} SELECT id FROM live WHERE type = 'schema' AND coalesce((SELECT count(*) FROM members m WHERE m.schema_id = live.id), 0) < 3", "live edges")

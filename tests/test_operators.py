@@ -152,10 +152,11 @@ def test_duplicates_and_rewiring(spark):
 
 def test_induction_needs_support(spark):
     rows = [(f"a{i}", (np.array(EYE[0]) + 0.01 * i).tolist()) for i in range(4)] + [("z1", EYE[3]), ("z2", EYE[3])]
-    got = T.induce_schemas(vectors(spark, rows), [], settings(), 4)
+    got = T.induce_schemas(vectors(spark, rows), None, settings(), 4)
     assert {r.id for r in got.collect()} == {f"a{i}" for i in range(4)}
-    known = T.induce_schemas(vectors(spark, rows), [np.array(EYE[3])], settings(), 4)
-    assert {r.id for r in known.where("startswith(bucket, 'known')").collect()} == {"z1", "z2"}
+    centroids = spark.createDataFrame([("s", EYE[3]), ("r", (2 * np.array(EYE[3])).tolist()), ("zero", [0.0] * 4)], "schema_id string, centroid array<double>")
+    known = T.induce_schemas(vectors(spark, rows), centroids, settings(), 4)
+    assert {(r.bucket, r.id) for r in known.where("startswith(bucket, 'known')").collect()} == {("known-r", "z1"), ("known-r", "z2")}
 
 
 def test_induction_is_that_of_one_pass(spark):
@@ -176,7 +177,7 @@ def test_induction_is_that_of_one_pass(spark):
             members.append([ids[i]])
     want = {tuple(x) for s, x in zip(sums, members) if len(x) >= 3 and (s @ s - len(x)) / (len(x) * (len(x) - 1)) >= 0.7}
     got = {}
-    for r in T.induce_schemas(vectors(spark, [(i, v.tolist()) for i, v in zip(ids, m)]), []).collect():
+    for r in T.induce_schemas(vectors(spark, [(i, v.tolist()) for i, v in zip(ids, m)])).collect():
         got.setdefault(r.bucket, []).append(r.id)
     assert len(want) > 100 and {tuple(sorted(x)) for x in got.values()} == want
 
