@@ -170,6 +170,7 @@ def injected_text(chosen: DataFrame, limit_chars: int) -> DataFrame:
     """One row (text): lines in rank order, '[keep]' before kept ones, cut at the last line that fits whole."""
     line = F.concat(F.when(F.col("hard"), "[keep] ").otherwise(""), F.col("value"))
     rows = chosen.select(F.struct((~F.col("hard")).alias("h"), (-F.round("score", 9)).alias("s"), "id", line.alias("line")).alias("r"))
+    rows = rows.orderBy("r").limit(limit_chars + 2)  # each line takes a character at least, so no more can be seen
     text = rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["line"]), "\n").alias("text"))
     head = F.substring("text", 1, limit_chars)
     clipped = F.regexp_replace(head, r"\n[^\n]*$", "")

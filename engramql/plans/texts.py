@@ -164,7 +164,8 @@ def pending_provenance(spark, d):
 )
 def triples_json(spark, d):
     """Edges of a node written as JSON and read back through the validator."""
-    e = M.edges(spark, d).groupBy("src", "rel").agg(F.to_json(F.collect_list(F.struct(F.col("src").alias("subject"), F.col("rel").alias("predicate"), F.col("dst").alias("object")))).alias("answer"))
+    part = F.pmod(F.xxhash64("dst"), F.lit(256))  # the edges of a hot node are many answers
+    e = M.edges(spark, d).groupBy("src", "rel", part).agg(F.to_json(F.collect_list(F.struct(F.col("src").alias("subject"), F.col("rel").alias("predicate"), F.col("dst").alias("object")))).alias("answer"))
     return e.select(F.explode(J.valid_triples(F.col("answer"))).alias("t")).select("t.subject", "t.predicate", "t.object").distinct()
 
 

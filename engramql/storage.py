@@ -4,6 +4,8 @@ Lineage is cut with written tables in the folder that the cluster names in
 ``spark.checkpoint.dir``: all executors share it, so a lost executor costs a
 re-read and not a recomputation.  Where the setting is absent (tests, one
 machine) a temporary folder takes its place and is set as checkpoint folder.
+Written tables are deleted by the operator that is done with them (``discard``)
+or by the caller once its results are out (``sweep``).
 """
 
 from __future__ import annotations
@@ -38,12 +40,26 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: no lineage beyond it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
     return out
 
 
+_written: list[str] = []
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete all tables that this process wrote by ``cut``; for callers whose results are written or collected."""
+    for path in _written:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    n = len(_written)
+    _written.clear()
+    return n
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables written by ``cut`` that no later plan reads."""
     for t in tables:
