@@ -262,7 +262,7 @@ def pack_probes(vectors: DataFrame, floors: DataFrame, dim: int) -> DataFrame:
     return packed.groupBy("pack").applyInArrow(run, "pack int, probe_ids array<string>, probe_packed binary, floors array<double>")
 
 
-def nearest(vectors: DataFrame, probe_ids: DataFrame, k: int = 10, dim: int = 64, curves: int = 3, axes: int = 8, bits: int = 7, window: int = 256, settle: bool = True) -> DataFrame:
+def nearest(vectors: DataFrame, probe_ids: DataFrame, k: int = 10, dim: int = 64, curves: int = 5, axes: int = 8, bits: int = 7, window: int = 512, settle: bool = True) -> DataFrame:
     """(probe_id, other_id, cos, rank): the k most similar rows of each probe.
 
     ``settle`` adds the exact pass; without it the result is what the windows
