@@ -212,11 +212,11 @@ def trace_tail(spark, d):
     return M.mem_events(spark, d).select("id", "event_type").where("id > 900").orderBy("id").limit(500)
 
 
-@reg.query("node_cascade", f"SELECT node_id, ts, event_type FROM mem_events WHERE node_id IS NOT NULL AND ts >= 1705000000000 ORDER BY ts, id LIMIT 24", "mem_events")
+@reg.query("node_cascade", f"SELECT node_id, ts, event_type FROM mem_events WHERE node_id IS NOT NULL AND ts >= 1705000000000 ORDER BY ts, id, node_id LIMIT 24", "mem_events")
 def node_cascade(spark, d):
     """G36."""
     e = M.mem_events(spark, d).where("node_id IS NOT NULL AND ts >= 1705000000000")
-    return e.orderBy("ts", "id").limit(24).select("node_id", "ts", "event_type")
+    return e.orderBy("ts", "id", "node_id").limit(24).select("node_id", "ts", "event_type")
 
 
 @reg.query(
