@@ -32,7 +32,7 @@ from engramql.functions.text import blank, stripped
 MAX_ALIASES = 10_000
 DICTIONARY = "kind string, text string, zone string, start_ms bigint"
 #: Raised with every change of what ``parse_entry`` reads.
-FORMATS = 1
+FORMATS = 2
 
 MONTHS = {m: i for i, m in enumerate(("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"), 1)}
 FULL_MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
@@ -76,7 +76,9 @@ def _iana() -> dict[str, str]:
 def resolver(aliases: dict[str, str]):
     """A cached function from a zone text to a tzinfo, or None if unknown.
 
-    ``aliases`` has lower-cased names; the table decides before the IANA names.
+    A name is an IANA name, an offset or an alias, in this order ('CET' is the
+    zone with summer time, whatever the table says); ``aliases`` has
+    lower-cased names.
     """
 
     @lru_cache(maxsize=4096)
@@ -87,10 +89,12 @@ def resolver(aliases: dict[str, str]):
                 return timezone.utc
             if (fixed := parse_offset(name)) is not None:
                 return fixed
+            if name in _iana():
+                return ZoneInfo(_iana()[name])
             if name not in aliases:
                 break
             name = aliases[name].strip().lower()
-        return ZoneInfo(_iana()[name]) if name in _iana() else None
+        return None
 
     return zone
 
