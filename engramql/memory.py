@@ -140,12 +140,14 @@ class Memory:
         return best.where(F.col("cos") >= self.cfg.ranked_floor).join(stale, "id", "left_anti").select("id", "value", "cos").orderBy(F.desc("cos"), "id")
 
     def recall(self, text: str) -> DataFrame:
-        """(id, value, via): the best match, its schema, the schema's members and related schemas."""
+        """(id, value, via): the best match, what lies along the predicate that the text asks for, the schema, its members and related schemas."""
         hit = retrieval.top(retrieval.cosine_scores(self.live, self.embed(text)), "cos", 1).select("id")
         up = self.edges.where("kind = 'abstracts'").join(hit.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("id")).limit(1)
         members = self.edges.where("kind = 'abstracts'").join(up.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).orderBy("id").limit(self.cfg.recall_budget)
         side = graph.fan_out(self.edges, "schema_rel", self.cfg.sideways_budget).join(up, "id", "left_semi").select(F.col("other").alias("id"))
-        parts = [hit.withColumn("via", F.lit("match")), up.withColumn("via", F.lit("schema")), members.withColumn("via", F.lit("member")), side.withColumn("via", F.lit("related"))]
+        asked = documents.predicate_of(self.embed(text), documents.gloss_vectors(self.embed), self.cfg.gloss_threshold)
+        path = graph.typed_reach(self.edges, hit, [asked], self.cfg.recall_budget).select("id") if asked else hit.where("false")
+        parts = [path.withColumn("via", F.lit("along")), hit.withColumn("via", F.lit("match")), up.withColumn("via", F.lit("schema")), members.withColumn("via", F.lit("member")), side.withColumn("via", F.lit("related"))]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)

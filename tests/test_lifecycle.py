@@ -92,3 +92,12 @@ def test_remember_revises_and_passes_write_triples(spark, tmp_path):
     m.consolidate(5 * day)
     names = {r.id: r.value for r in m.nodes.collect()}
     assert [(names[r.src], r.rel, names[r.dst]) for r in m.edges.where("rel = 'uses'").collect()] == [("Gateway", "uses", "Redis")]
+
+
+def test_recall_follows_the_predicate_asked_for(spark, tmp_path):
+    m = Memory(spark, f"file://{tmp_path}/m")
+    m.remember("Gateway", "s", 1), m.remember("Redis", "s", 2)
+    m.add(spark.createDataFrame([("Remember this now. Gateway uses Redis.", "user", "s9", 3, "claude-code")], "content string, role string, session_id string, ts bigint, source string"), 3)
+    m.consolidate(4)
+    found = {r.value: r.via for r in m.recall("what does Gateway use as a tool").collect()}
+    assert found["Redis"] == "along"
