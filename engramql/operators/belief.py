@@ -28,7 +28,7 @@ BLOCK, PACK = 4096, 512
 
 
 def nominate(claims: DataFrame, nodes: DataFrame, k: int = DEFAULT.candidate_k, dim: int = 64) -> DataFrame:
-    """(claim_id, node_id, cos, pos): the k nearest nodes of each claim, exactly.
+    """(claim_id, node_id, cos, pos): the k nearest nodes of each claim, exactly; ranked by cosines of six digits, given in full.
 
     Claims are written once, in packs of about ``PACK``; nodes stay where they
     are, and each task holds up to ``BLOCK`` of them against the packs that it
@@ -44,9 +44,10 @@ def nominate(claims: DataFrame, nodes: DataFrame, k: int = DEFAULT.candidate_k,
         length = np.linalg.norm(m, axis=1)
         for pack in read_shared(files, ["ids", "vectors"]):
             a = pack.column("vectors").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-            cos = np.round((a @ m.T) / (np.linalg.norm(a, axis=1)[:, None] * length[None, :]), 6)  # the order below, so ties are kept whole until ids decide
-            rows, cols = best_of(cos, k + 1, 0.0)
-            at = first_of_row(rows, cos[rows, cols], order[cols], k + 1)
+            cos = (a @ m.T) / (np.linalg.norm(a, axis=1)[:, None] * length[None, :])
+            near = np.round(cos, 6)  # the order below, so ties are kept whole until ids decide
+            rows, cols = best_of(near, k + 1, 0.0)
+            at = first_of_row(rows, near[rows, cols], order[cols], k + 1)
             rows, cols = rows[at], cols[at]
             yield pa.RecordBatch.from_arrays([pack.column("ids").flatten().take(pa.array(rows)), ids.take(pa.array(cols)), pa.array(cos[rows, cols])], names=["claim_id", "node_id", "cos"])
 

@@ -60,7 +60,7 @@ def remembered(claims: DataFrame, nodes: DataFrame, now_ms: int, cfg: Settings =
     digest = F.sha2("value", 256)
     have = nodes.groupBy("value_hash").agg(F.min("id").alias("same"))
     c = claims.select("id", "value", "embedding", digest.alias("value_hash")).join(have, "value_hash", "left")
-    near = belief.nominate(c.where("same IS NULL"), nodes, k).where(F.col("cos") >= cfg.unrelated_below)
+    near = belief.nominate(c.where("same IS NULL"), nodes, k).where(F.round("cos", 6) >= cfg.unrelated_below)
     state = nodes.select(F.col("id").alias("node_id"), F.col("value").alias("node_value"), F.col("value_hash").alias("node_hash"), "s", "c", "last_access", F.col("prev_value").alias("node_prev"))
     pairs = near.join(state, "node_id").join(c.select(F.col("id").alias("claim_id"), "value", "value_hash"), "claim_id").where("node_hash <> value_hash")
     hit, magnitude = judged(F.col("value"), F.col("node_value"))
@@ -230,7 +230,7 @@ def gray_zone(nodes: DataFrame, bands: tuple[float, ...] = (0.3, 0.5, 0.7, 0.85,
     A pair found from both ends counts once; pairs of one normalised value are
     left out.
     """
-    best = belief.nominate(nodes, nodes, 1, dim).where((F.col("cos") >= bands[0]) & (F.col("cos") < bands[-1]))
+    best = belief.nominate(nodes, nodes, 1, dim).withColumn("cos", F.round("cos", 6)).where((F.col("cos") >= bands[0]) & (F.col("cos") < bands[-1]))
     value = nodes.select("id", S.normalize_value(F.col("value")).alias("v"))
     j = best.join(value.select(F.col("id").alias("claim_id"), F.col("v").alias("va")), "claim_id").join(value.select(F.col("id").alias("node_id"), F.col("v").alias("vb")), "node_id")
     pairs = j.where(~F.coalesce(F.col("va") == F.col("vb"), F.lit(False))).select(F.least("claim_id", "node_id").alias("a"), F.greatest("claim_id", "node_id").alias("b"), F.round("cos", 6).alias("cos")).distinct()
