@@ -60,7 +60,7 @@ _ES = "calle|avenida|avda|paseo|plaza|camino|carrera|ronda|travesía|callejón|g
 _UNIT = rf"(?:,?{_GAP}(?:apt|unit|suite|ste|flat|apartment|room|no|nr|piso|puerta|appt|whg)\b\.?{_GAP}?#?\w{{1,4}}\b|,?{_GAP}#[ ]?\w{{1,4}}\b)?"
 _ADDRESS = (
     ("en", re.compile(rf"(?<![\w.,/-])\d{{1,5}}[a-z]?,?{_GAP}(?:[nsew]{{1,2}}\.?{_GAP})?(?:[^\W\d_][\w'’-]*{_GAP}){{1,3}}?(?:{_EN})\b\.?{_UNIT}", re.IGNORECASE)),
-    ("de", re.compile(rf"(?<![\w-])[^\W\d_]+(?:-[^\W\d_]+)?(?:{_DE})\b\.?{_GAP}\d{{1,4}}(?:[ ]?[a-h]\b)?{_UNIT}(?!\w)", re.IGNORECASE)),
+    ("de", re.compile(rf"(?<![\w-])[^\W\d_]+(?:-[^\W\d_]+){{0,3}}?-?(?:{_DE})\b\.?{_GAP}\d{{1,4}}(?:[ ]?[a-h]\b)?{_UNIT}(?!\w)", re.IGNORECASE)),
     ("de2", re.compile(rf"(?<![\w-])(?:[^\W\d_]+{_GAP}){{1,2}}?(?:{_DE})\b\.?{_GAP}\d{{1,4}}(?:[ ]?[a-h]\b)?{_UNIT}(?!\w)", re.IGNORECASE)),
     ("deam", re.compile(rf"(?<![\w-])(?:am|im|zum|zur|an{_GAP}de[rn]|auf{_GAP}de[rm]|in{_GAP}de[rn]|unter{_GAP}den){_GAP}[^\W\d_]{{3,}}{_GAP}\d{{1,4}}(?:[ ]?[a-h]\b)?{_UNIT}(?!\w)", re.IGNORECASE)),
     ("fr", re.compile(rf"(?<![\w.,/-])\d{{1,4}}(?:[ ]?(?:bis|ter|quater)\b)?,?{_GAP}(?:{_FR})(?:{_GAP}(?:de{_GAP}la|du|des|de|d['’]|de{_GAP}l['’]))?{_GAP}?[^\W\d_]{{3,}}(?:-[^\W\d_]+)*", re.IGNORECASE)),
@@ -260,7 +260,7 @@ def _word_class(word: str, lexicon: Lexicon) -> str:
         return "-"
     if word[0].isupper() and (word[1:].islower() or word.isupper() or _INNER_CAPITAL.fullmatch(word)):
         return "C"
-    return "c" if word.islower() and lexicon.likeness.of(low) == 4 else "-"
+    return "c" if word.islower() and lexicon.likeness.of(low) >= 3 else "-"
 
 
 def _name_segments(text: str, words: list[re.Match], lexicon: Lexicon) -> Iterator[Segment]:

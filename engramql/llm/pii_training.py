@@ -40,11 +40,17 @@ WAYS = ["Street", "St", "St.", "Road", "Rd", "Avenue", "Ave", "Lane", "Drive", "
 DE = ["Goethestraße", "Schillerstr.", "Lindenallee", "Rosenweg", "Kirchgasse", "Bismarckring", "Königsplatz", "Neue Straße", "Alte Gasse", "Am Markt", "Am Hofgarten", "An der Mühle", "Auf dem Berg", "Im Grund", "Zum Anger", "Rheinufer", "Friedrich-Ebert-Straße"]
 FR = ["rue Pasteur", "avenue de la République", "boulevard du Temple", "place des Lilas", "chemin de Halage", "rue des Écoles", "quai de Seine", "impasse des Tilleuls", "allée du Bois", "cours Mirabeau"]
 ES = ["Calle de Alcalá", "Avenida de América", "Paseo de Gracia", "Plaza del Sol", "Calle Serrano", "Camino de los Olivos", "Ronda de Toledo", "Avenida Diagonal", "Calle de las Flores"]
-HOSTS = ["acme.com", "post.acme.org", "uni.edu", "firma.de", "exemple.fr", "correo.es", "mail.co.uk", "startup.io"]
+HOSTS = ["acme.com", "post.acme.org", "uni.edu", "firma.de", "exemple.fr", "correo.es", "mail.co.uk", "startup.io", "bedrift.no", "firma.pl", "bolag.se", "loja.com.br", "kaisha.jp", "shop.ca", "team.dev", "atelier.be"]
 WORDS = "server parser ledger gateway cluster schema worker router session cursor batch index bucket queue widget panel".split()
 THINGS = ["Blue Heron", "Silver Falcon", "Red Maple", "Grand Canyon", "New York", "San Diego", "Los Angeles", "Hong Kong", "Visual Studio", "Black Friday", "Google Drive", "Green Ledger", "Morning Star", "Iron Bridge", "North Gate", "Open Source", "Data Science", "Quarterly Report", "Release Notes", "Steering Committee"]
 
 
+#: Carriers of names are also made by rule: what is done to a person, what a person does, what a person is.
+DONE_TO = "hired fired trained praised blamed visited phoned mailed paged promoted elected invited interviewed helped warned replaced greeted escorted tutored nominated".split()
+DOES = "painted repaired opened closed cleaned drafted translated carried measured counted tested missed ordered cooked sold bought printed rented parked watered".split()
+ROLES = "Editor Driver Teacher Nurse Captain Manager Landlord Witness Client Buyer Seller Singer Chair Judge Pilot Tenant Coach Translator Cashier Gardener".split()
+
+
 class Grammar:
     def __init__(self, seed: int):
         self.r = random.Random(seed)
@@ -135,7 +141,7 @@ class Grammar:
             f"Ask {g} whether the {w} is free.", f"{g} likes the {w}.", f"{g} and {r.choice(self.given)} met at the {t}.", f"thanks @{w}, see #{v}", f"use root@localhost on the {w} box", f"npm i @{w}/{v}@{d(1)}.{d(1)}.{d(1)}", f"Invoice {d(4)}-{d(4)}-{d(2)} over {d(4)}.{d(2)} EUR", f"ratio {d(1)}-{d(2)}-{d(1)}, seed {d(6)}",
             f"Am Freitag um {r.randint(8, 18)} Uhr läuft der {w.title()} im Keller.", f"Der {w.title()} Dienst hat {d(4)} Zeilen.", f"Le {w} garde {d(4)} lignes, voir {t}.", f"El {w} pierde {d(3)} filas cada hora.", f"Kapitel {d(1)} im {t} Handbuch", f"Nothing in {t} changes the {w}.", f"[REDACTED:{r.choice(KINDS)}] was here", f"size={d(6)} sha={d(5)}b{d(6)}c{d(3)}",
             f"Meet in room {d(3)} on the way to {t}.", f"drive {d(2)} in place {d(1)} of row {d(3)}", f"The court closed case {d(2)}-{d(4)}.", f"{t} Update: {u}", f"HTTP {d(3)} ERROR in {w.upper()} {v.upper()}", f"it stays at {w}.{v} for now", f"look at {w}.{v} at line {d(3)}", f"ISBN 978-{d(1)}-{d(4)}-{d(4)}-{d(1)}",
-            f"The {w} keeps {v} open until the {r.choice(WORDS)} is done because nobody compared {t} with it.", f"am Ende {d(3)} Fehler, im Mittel {d(2)} Zeilen", f"am {w} {d(3)} gemessen", f"zum Teil {d(2)}, in der Regel {d(3)} Treffer", f"We agreed to keep {w}{v} on port {d(4)}, {t} ignored them.",
+            f"Every {w} waits for its {v}, which is slow on {t}.", f"am Ende {d(3)} Fehler, im Mittel {d(2)} Zeilen", f"am {w} {d(3)} gemessen", f"zum Teil {d(2)}, in der Regel {d(3)} Treffer",
             f"{r.choice(self.family)} approved it.", f"Prices fell {d(2)} percent to {d(4)} {d(3)} units.", f"skip {d(7)} and {r.choice('abcdef')}{d(7)}", f"part no {d(6)}-{d(3)} rev {r.choice('ABC')}{d(6)}", f"Monday, Tuesday and March, April are off.", f"Product Owner, Tech Lead and {w.title()} Team join.",
             f"build {r.choice('abcdef')}{d(6)} in {w}", f"{w} ({r.choice('abcdef')}{d(6)}) was skipped", f"merged into {w} ({d(7)})", f"rev ({d(7)}) of {v}", f"{d(3)} ok, {d(2)} bad ({d(7)})", f"size={d(4)} {d(4)}", f"total {d(4)} {d(4)} for {w}", f"see {d(8)}{r.choice('abcdef')} in the history", f"ran {d(3)} {d(2)} {d(4)} times",
         )
@@ -158,13 +164,29 @@ class Grammar:
             (f"Patient {n}, {label}{i}, {a}", [N, I, A]), (f"To: {n}\nCc: {n2}", [N, ("NAME", n2)]), (f"invite {n} please", [N]), (f"did you tell {n}?", [N]), (f"{n} ({p})", [N, P]), (f"- {n}", [N]), (f"according to {n}, it is done", [N]), (f"hire {n} for the {lower}", [N]),
         )
 
+    def about_a_person(self) -> tuple[str, list[tuple[str, str]]]:
+        """A sentence by rule: subject, object or complement is a name."""
+        n, w = self.full(), self.r.choice(WORDS)
+        did, does, role = self.r.choice(DONE_TO), self.r.choice(DOES), self.r.choice(ROLES)
+        low = role.lower()
+        return self.pick(
+            f"We {did} {n} in {self.pick('May', 'autumn', 'the morning', '2019')}.", f"They {did} {n}", f"{n} {does} the {w}.", f"Yesterday {n} {does} a {w}.", f"The {w} was {does} by {n}.", f"{role}: {n}", f"{role} - {n}", f"our {low} {n} {does} it", f"The {low}, {n}, {does} the {w}.",
+            f"a {w} for {n}", f"Nobody but {n} {does} it.", f"Even {n} was {did}.", f"{n} is our {low}.", f"{n} had {does} the {w} before.", f"Was {n} {did}?", f"{n}, {low}", f"As {n} {does} the {w}, we left.", f"between {n} and the {low}", f"without {n} the {w} stops",
+        ), [("NAME", n)]
+
+    def by_rule(self) -> str:
+        """The same sentences about things."""
+        t, w = self.r.choice(THINGS), self.r.choice(WORDS)
+        does = self.r.choice(DOES)
+        return self.pick(f"We {does} the {t} {w}.", f"The {t} was {does} by the {w}.", f"{t} {w} was {does}.", f"{w.title()}: {t} {self.r.choice(WORDS).title()}", f"Our {t} is {does}.", f"a {w} for the {t}", f"The {w}, the {t}, was {does}.", f"Nobody {does} the {t}.", f"{does.title()} {w.title()} and {t}.")
+
     def row(self) -> tuple[str, list[tuple[str, str]]]:
         parts, gold = [], []
         for _ in range(self.r.randint(1, 4)):
             if self.r.random() < 0.5:
-                parts.append(self.nothing())
+                parts.append(self.nothing() if self.r.random() < 0.8 else self.by_rule())
             else:
-                s, g = self.something()
+                s, g = self.something() if self.r.random() < 0.75 else self.about_a_person()
                 parts.append(s)
                 gold += g
         text, case = self.pick(" ", "\n", " ", ". ", "<br>").join(parts), self.r.random()
