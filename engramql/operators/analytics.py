@@ -19,6 +19,15 @@ def ledger_totals(ledger: DataFrame, since_ms: int) -> DataFrame:
     return ledger.rollup("feature_tag").agg(F.count(F.lit(1)).alias("calls"), *sums)
 
 
+def rounded_sum(c: str, digits: int) -> Column:
+    """Sum of doubles, rounded half up, the same in any order of rows: added as decimals of 18 places, so a tie is no matter of chance.
+
+    A group with a value that such a decimal cannot hold (not finite, 10^10 or more) is added as doubles.
+    """
+    held = F.col(c).try_cast("decimal(28,18)")
+    return F.when(F.count(c) == F.count(held), F.round(F.sum(held), digits).cast("double")).otherwise(F.round(F.sum(c), digits))
+
+
 def counts(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from engramql.config import DAY_MS, DEFAULT
 from engramql.functions import scalars as S
+from engramql.operators import analytics as A
 from engramql.operators import belief as B
 from engramql.operators import mutations as U
 from engramql.plans import model as M
@@ -121,7 +122,8 @@ def edge_upsert(spark, d):
     """M4."""
     e = M.edges(spark, d)
     out = U.upsert_edges(e, e.where("rel = 'uses'").withColumn("w", F.col("w") / 2), e.where("rel = 'ref'"))
-    return out.groupBy("rel").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("w"), 4).alias("w"))
+    out = out.where("rel IS NOT NULL")  # rel <> 'ref' is not true of null
+    return out.groupBy("rel").agg(F.count(F.lit(1)).alias("n"), A.rounded_sum("w", 4).alias("w"))
 
 
 @reg.query("tombstone_merge", "SELECT type, sum((coalesce(tombstoned, false) OR left(id, 1) = 'a')::INT)::BIGINT AS dead, sum((coalesce(training_eligible, false) AND left(id, 1) <> 'a')::INT)::BIGINT AS eligible FROM nodes GROUP BY 1", "nodes")
